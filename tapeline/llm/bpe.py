@@ -18,6 +18,7 @@ is split, as the tokenizer file says.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from tapeline.llm.common import map_rows
 
 #: Fixed: the pre-split pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -172,7 +173,10 @@ class Automaton:
 
 @lru_cache(maxsize=2)
 def _ready(spec: str) -> Automaton:
-    return Automaton(spec)
+    auto = Automaton(spec)
+    gc.collect()
+    gc.freeze()  # the tables live as long as the worker; collections need not walk them
+    return auto
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
