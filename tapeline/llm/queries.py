@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeline.llm.bpe import encode_documents
 from tapeline.llm.common import table
 from tapeline.llm.decontaminate import leak_report
+from tapeline.llm.language import language_report
+from tapeline.llm.quality import quality_report
 
 
 def tokenizer_path() -> str:
@@ -17,16 +19,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe, "op9_decontaminate": op9_decontaminate}
+    return {"op2_language": op2_language, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
