@@ -10,7 +10,9 @@ from tapeline.llm.bpe import encode_documents
 from tapeline.llm.common import table
 from tapeline.llm.decontaminate import leak_report
 from tapeline.llm.language import language_report
+from tapeline.llm.pseudonyms import DEMO_KEY, pseudonymize
 from tapeline.llm.quality import quality_report
+from tapeline.llm.sharding import shard_documents
 
 
 def tokenizer_path() -> str:
@@ -19,10 +21,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents"), DEMO_KEY, keep=["doc_id", "text"])
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,7 +46,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op9_decontaminate": op9_decontaminate}
+    return {"op1_sharding": op1_sharding, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
