@@ -13,6 +13,7 @@ from tapeline.llm.language import language_report
 from tapeline.llm.pseudonyms import DEMO_KEY, pseudonymize
 from tapeline.llm.quality import quality_report
 from tapeline.llm.sharding import shard_documents
+from tapeline.llm.substrings import cut_repeats
 
 
 def tokenizer_path() -> str:
@@ -33,6 +34,10 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(table(spark, sf_dir, "documents"), DEMO_KEY, keep=["doc_id", "text"])
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,7 +51,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op9_decontaminate": op9_decontaminate}
+    return {"op1_sharding": op1_sharding, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms, "op5_substrings": op5_substrings, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
