@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeline.llm.bpe import encode_documents
 from tapeline.llm.common import table
 from tapeline.llm.decontaminate import leak_report
+from tapeline.llm.jaccard import similarity_classes
 from tapeline.llm.language import language_report
 from tapeline.llm.pseudonyms import DEMO_KEY, pseudonymize
 from tapeline.llm.quality import quality_report
@@ -50,8 +51,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms, "op5_substrings": op5_substrings, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op9_decontaminate": op9_decontaminate}
+    return {"op1_sharding": op1_sharding, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms, "op5_substrings": op5_substrings, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op9_decontaminate": op9_decontaminate, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
