@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeline.llm.bpe import encode_documents
 from tapeline.llm.common import table
 from tapeline.llm.decontaminate import leak_report
+from tapeline.llm.hamming import nearest_report
 from tapeline.llm.jaccard import similarity_classes
 from tapeline.llm.language import language_report
 from tapeline.llm.pseudonyms import DEMO_KEY, pseudonymize
@@ -35,6 +36,10 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(table(spark, sf_dir, "documents"), DEMO_KEY, keep=["doc_id", "text"])
 
 
+def op4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_report(table(spark, sf_dir, "embeddings"), k=10)
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
 
@@ -56,8 +61,24 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms, "op5_substrings": op5_substrings, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op9_decontaminate": op9_decontaminate, "op10_jaccard": op10_jaccard}
+    return {"op1_sharding": op1_sharding, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms, "op4_hamming": op4_hamming, "op5_substrings": op5_substrings, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op9_decontaminate": op9_decontaminate, "op10_jaccard": op10_jaccard}
+
+
+#: op4: all distances of the asking rows, ranked by distance and id.
+OP4_SQL = """
+WITH bits AS (
+  SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), pairs AS (
+  SELECT a.vec_id, b.vec_id AS neighbour,
+    list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CASE WHEN (x[1] > 0) <> (x[2] > 0) THEN 1 ELSE 0 END)) AS distance
+  FROM bits a JOIN bits b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+), ranked AS (
+  SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank, neighbour, distance FROM pairs
+)
+SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(rank AS BIGINT) AS rank, CAST(neighbour AS BIGINT) AS neighbour, CAST(distance AS BIGINT) AS distance
+FROM ranked WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_hamming": OP4_SQL}
