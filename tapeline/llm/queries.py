@@ -12,6 +12,7 @@ from tapeline.llm.decontaminate import leak_report
 from tapeline.llm.hamming import nearest_report
 from tapeline.llm.jaccard import similarity_classes
 from tapeline.llm.language import language_report
+from tapeline.llm.pages import extract_pages
 from tapeline.llm.pseudonyms import DEMO_KEY, pseudonymize
 from tapeline.llm.quality import quality_report
 from tapeline.llm.sharding import shard_documents
@@ -52,6 +53,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,7 +66,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms, "op4_hamming": op4_hamming, "op5_substrings": op5_substrings, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op9_decontaminate": op9_decontaminate, "op10_jaccard": op10_jaccard}
+    return {"op1_sharding": op1_sharding, "op2_language": op2_language, "op3_pseudonyms": op3_pseudonyms, "op4_hamming": op4_hamming, "op5_substrings": op5_substrings, "op6_bpe": op6_bpe, "op7_quality": op7_quality, "op8_main_text": op8_main_text, "op9_decontaminate": op9_decontaminate, "op10_jaccard": op10_jaccard}
 
 
 #: op4: all distances of the asking rows, ranked by distance and id.
