@@ -24,9 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm.common import materialize
+
 LENGTH = 35
 SEED = 8
 KEPT_WORDS = 300_000
@@ -87,56 +90,71 @@ class Roller:
         return x ^ (x >> np.uint64(32))
 
 
-def _sliding(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
-    """``op`` over each ``width`` consecutive values, by doubling."""
-    out, done = a, 1
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """For each ``width`` consecutive values the place of the least one, the last of equals, by doubling."""
+    place, done = np.arange(len(values)), 1
+    value = values
     while done < width:
         step = min(done, width - done)
-        out = op(out[: len(out) - step], out[step:])
+        left, right = value[: len(value) - step], value[step:]
+        later = right <= left
+        value = np.where(later, right, left)
+        place = np.where(later, place[step:], place[: len(place) - step])
         done += step
-    return out
+    return place
+
 
+def anchors(roller: Roller, texts: list[list[bytes]], length: int, seed: int) -> tuple[np.ndarray, ...] | None:
+    """Anchors that stand for windows of any of the texts: text, hash, extension hash, first window, last - first.
 
-def anchors(roller: Roller, words: list[bytes], length: int, seed: int) -> tuple[np.ndarray, ...] | None:
-    """Anchors that stand for windows: hash, extension hash, first window, last window, first - place. None if too short."""
-    n = len(words)
-    if n < length:
+    All texts are hashed in one go; seeds that cross into the next text never win, windows that do are left out.
+    """
+    sizes = np.array([len(t) for t in texts])
+    total = int(sizes.sum())
+    if total < length:
         return None
-    prefix = roller.prefix(words)
-    at = np.arange(n - seed + 1)
+    prefix = roller.prefix([w for t in texts for w in t])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(total - seed + 1)
     h = roller.ranges(prefix, 0, at, at + seed)
-    span = length - seed + 1
-    least = _sliding(h, span, np.minimum)  # by window
-    # the last place in each window with that hash
-    same = np.where(h[span - 1 :] == least, np.arange(span - 1, len(h)), -1)
-    place = np.empty(len(least), np.int64)
-    place[:] = same
-    for back in range(1, span):
-        todo = place < 0
-        if not todo.any():
-            break
-        w = np.flatnonzero(todo)
-        hit = h[w + span - 1 - back] == least[w]
-        place[w[hit]] = w[hit] + span - 1 - back
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.concatenate([first[1:], [len(place)]]) - 1
+    h[owner[at] != owner[at + seed - 1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    place = _least(h, length - seed + 1)  # by window
+    inside = owner[: total - length + 1] == owner[length - 1 :]
+    same = inside[1:] & inside[:-1] & (place[1:] == place[:-1])
+    first = np.flatnonzero(inside & np.concatenate([[True], ~same]))
+    last = np.flatnonzero(inside & np.concatenate([~same, [True]]))
+    if not len(first):
+        return None
     where = place[first]
     ext = roller.ranges(prefix, 1, first, last + length)
     # the anchor's place in the extension and the number of windows belong to what must agree
     ext = (ext ^ ((where - first) * 64 + (last - first)).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
-    return h[where].view(np.int64), ext.view(np.int64), first, last
+    text = owner[first]
+    return text, h[where].view(np.int64), ext.view(np.int64), (first - begin[text]).astype(np.int32), (last - first).astype(np.int32)
+
+
+def _groups(texts: list[list[bytes]], most: int = 150_000) -> Iterator[range]:
+    """Consecutive texts of about ``most`` words."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= most:
+            yield range(at, i + 1)
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield range(at, len(texts))
 
 
 def _batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` maps a record batch slice to a dict of arrays."""
+    """``fn`` maps a record batch slice to lists of arrays."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller()
         for b in batches:
             for at in range(0, b.num_rows, 400):
-                cols = fn(roller, b.slice(at, 400))
-                if cols and len(cols[0]):
+                for cols in fn(roller, b.slice(at, 400)):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     return df.mapInArrow(run, schema)
@@ -144,60 +162,75 @@ def _batches(df: DataFrame, fn, schema: str) -> DataFrame:
 
 def _emit_anchors(length: int, seed: int):
     def fn(roller: Roller, b: pa.RecordBatch):
-        out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        for row, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            got = anchors(roller, words_of(text), length, seed)
+        rows = b.column(0).to_numpy(zero_copy_only=False)
+        keys = b.column(1).to_numpy(zero_copy_only=False)
+        texts = [words_of(t) for t in b.column(2).to_pylist()]
+        for part in _groups(texts):
+            got = anchors(roller, [texts[i] for i in part], length, seed)
             if got is not None:
-                n = len(got[0])
-                for o, x in zip(out, (got[0], got[1], np.full(n, row, np.int64), np.full(n, key, np.int32), got[2].astype(np.int32), (got[3] - got[2]).astype(np.int32)), strict=True):
-                    o.append(x)
-        return [np.concatenate(o) for o in out] if out[0] else None
+                text, h, e, lo, more = got
+                yield [h, e, rows[text + part.start], keys[text + part.start].astype(np.int32), lo, more]
 
     return fn
 
 
 def _emit_windows(length: int):
-    """From (row, key, text, wanted: array of (lo, more)): the hashes of the wanted extensions' windows."""
+    """From (row, key, blob, wanted: array of (lo, more)): the hashes of the wanted extensions' windows."""
 
     def fn(roller: Roller, b: pa.RecordBatch):
-        rows, keys, starts, one, two = [], [], [], [], []
-        for row, key, text, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            prefix = roller.prefix(words_of(text))
+        for row, key, blob, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            prefix = roller.prefix(words_of(unpack(blob)))
             w = np.concatenate([np.arange(x["lo"], x["lo"] + x["more"] + 1) for x in wanted])
-            rows.append(np.full(len(w), row, np.int64))
-            keys.append(np.full(len(w), key, np.int32))
-            starts.append(w.astype(np.int32))
-            one.append(roller.ranges(prefix, 1, w, w + length).view(np.int64))
-            two.append(roller.ranges(prefix, 2, w, w + length).view(np.int64))
-        return [np.concatenate(x) for x in (rows, keys, starts, one, two)] if rows else None
+            one, two = (roller.ranges(prefix, k, w, w + length).view(np.int64) for k in (1, 2))
+            yield [np.full(len(w), row, np.int64), np.full(len(w), key, np.int32), w.astype(np.int32), one, two]
 
     return fn
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(row, key, spans): per row with repeats, the starts of repeated windows as (lo, more). ``docs``: row, key, text."""
-    found = _batches(docs, _emit_anchors(length, seed), "h long, e long, row long, key int, lo int, more int")
+    found = materialize(_batches(docs, _emit_anchors(length, seed), "h long, e long, row long, key int, lo int, more int"))
+    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    found = materialize(found.join(again, "h", "left_semi"))
     # one line for each different extension of each anchor: how often, and one place where
-    exts = found.groupBy("h", "e").agg(F.count("*").alias("n"), F.min(F.struct("row", "key", "lo", "more")).alias("at"))
+    exts = materialize(found.groupBy("h", "e").agg(F.count("*").alias("n"), F.min(F.struct("row", "key", "lo", "more")).alias("at")))
     full = exts.filter("n > 1").select("h", "e")
     whole = found.join(full, ["h", "e"], "left_semi").select("row", "key", "lo", "more")
     # anchors with several extensions: windows of one place each
     several = exts.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
     ask = exts.join(several, "h", "left_semi").select("at.row", "at.key", "at.lo", "at.more")
     wanted = ask.groupBy("row", "key").agg(F.collect_list(F.struct("lo", "more")).alias("wanted"))  # no longer than its text
-    asked = docs.join(wanted, ["row", "key"]).select("row", "key", "text", "wanted")
-    windows = _batches(asked, _emit_windows(length), "row long, key int, start int, a long, b long")
+    asked = packed(docs).join(wanted, ["row", "key"]).select("row", "key", "blob", "wanted")
+    windows = materialize(_batches(asked, _emit_windows(length), "row long, key int, start int, a long, b long"))
     twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
     part = windows.join(twice, ["a", "b"], "left_semi").select("row", "key", F.col("start").alias("lo"), F.lit(0).alias("more"))
     return whole.unionByName(part).groupBy("row", "key").agg(F.collect_list(F.struct("lo", "more")).alias("spans"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, key, blob): texts compressed for the way through a shuffle. ``docs``: row, key, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            for at in range(0, b.num_rows, 400):
+                part = b.slice(at, 400)
+                blobs = [z.compress((t or "").encode("utf-8", "replace")) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())], names=["row", "key", "blob"])
+
+    return docs.select("row", "key", "text").mapInArrow(run, "row long, key int, blob binary")
+
+
+def unpack(blob: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(blob).decode()
+
+
 def cut_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
     """Per document row: doc_id, n_words, n_removed, kept_sha256 and, if asked, the kept text."""
     row = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    rows = docs.select("doc_id", "text", row.alias("row"), F.hash("text").alias("key"))
-    spans = repeats(rows.select("row", "key", "text"), length, seed)
-    both = rows.join(spans, ["row", "key"], "left").select("doc_id", "text", "spans")
+    rows = docs.select(row.alias("row"), F.hash("text").alias("key"), "text")
+    spans = repeats(rows, length, seed)
+    both = packed(rows).join(spans, ["row", "key"], "left").select(F.when(F.col("row") != -1, F.col("row")).alias("doc_id"), "blob", "spans")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +238,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_te
             for at in range(0, b.num_rows, 400):
                 part = b.slice(at, 400)
                 out: list[list] = [[] for _ in names]
-                for row, text, marked in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    words = words_of(text)
+                for row, blob, marked in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    words = words_of(unpack(blob))
                     keep = np.ones(len(words), bool)
                     for s in marked or ():
                         keep[s["lo"] : s["lo"] + s["more"] + length] = False
