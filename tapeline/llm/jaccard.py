@@ -9,9 +9,14 @@ sets are found by scanning the inverted lists of their prefix elements for k = 1
 the subsets of a set cost less than its lists, given the mean length of lists in these data; sets so near below the
 boundary that a larger one can link with them are in the lists as well.
 
-Lists are not expanded into pairs. First each set is compared with the smallest set of each of its lists, which joins
-groups of copies; afterwards only sets of one list that are still in different components are compared. So every
-link is either verified or inside a component already, and the components are exact.
+Lists are not expanded into pairs. First each set is compared with the set that is smallest in most of its lists, which
+joins groups of copies; afterwards only sets of one list that are still in different components are compared. So
+every link is either verified or inside a component already, and the components are exact.
+
+Large sets take a longer prefix, k = 1 + size // STEP, so those that link share at least the smaller k of the two. That
+gives two exact savings. Lists of over LONG sets are left aside: a set with no more such lists than its partners' k - 1
+must meet every partner in a short list too, and only sets with more are compared within the long lists, among
+themselves. And pairs that share fewer elements than they must are dropped before their texts are fetched.
 
 Frequent elements are found by counting in every partition and summing the counts; they only move to the end of the
 order (at most ``MOST_FREQUENT`` of them are sent to the executors), which changes cost but no result.
@@ -38,6 +43,8 @@ from tapeline.llm.substrings import _Hashes
 
 MOST_FREQUENT = 1 << 16
 FREQUENT = 32
+STEP = 24
+LONG = 16  # sets in a list; a longer one is only used among sets that have many such
 MOST_SUBSETS = 64  # a set with more goes to the lists, whatever their cost
 SALTS = 16
 SLICE = 400
@@ -78,6 +85,10 @@ class Rule:
     def prefix(self, size: int, k: int) -> int:
         return min(size, size - self.need(size) + k)
 
+    def extra(self, size: int) -> int:
+        """Elements over one that a set shares with any partner in the lists. None near the small sets."""
+        return size // STEP if self.num * size > self.den * self.boundary else 0
+
     def subsets(self, size: int) -> int:
         p = self.prefix(size, 2)
         return p * (p - 1) // 2
@@ -191,7 +202,7 @@ def _keys(rows: DataFrame, n: int, rule: Rule, frequent: object) -> DataFrame:
         size = len(x)
         k, busy = [], []
         if rule.listed(size) or not rule.small(size):
-            p = order[: rule.prefix(size, 1)]
+            p = order[: rule.prefix(size, 1 + rule.extra(size))]
             k.append(_mix(x[p] ^ np.uint64(1)))
             busy.append(late[p])
         if rule.small(size):
@@ -263,32 +274,52 @@ def similar_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame
     keys = _keys(rows.select("text"), n, rule, frequent)
     by = Window.partitionBy("k", "salt")
     met = keys.withColumns({"rep": F.min("id").over(by), "top": F.max("id").over(by)})
-    met = materialize(met.filter("rep != top or salt >= 0").select("k", "salt", "id", "rep"))
-    heads = met.filter("salt >= 0").select("k", "rep").distinct()
-    firsts = heads.groupBy("k").agg(F.min("rep").alias("first"))
-    across = heads.join(firsts, "k").select(F.col("rep").alias("b"), F.col("first").alias("a"))
-    near = met.select(F.col("id").alias("b"), F.col("rep").alias("a")).unionByName(across).filter("a != b").distinct()
+    met = materialize(met.filter("rep != top or salt >= 0").select("k", "salt", "id", "rep").distinct())
     sizes = sets.select("id", "size")
+    extra = lambda c: F.when(F.col(c) * num > den * rule.boundary, F.floor(F.col(c) / STEP)).otherwise(0)
+    # what a partner of least size shares over one element
+    slack = F.when(F.col("size") * num * num > den * den * rule.boundary, F.floor(F.floor(F.col("size") * num / den) / STEP)).otherwise(0)
 
-    def fitting(pairs: DataFrame) -> DataFrame:
+    def sized(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
-        return p.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
+        return p.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
 
-    first_pairs = materialize(fitting(near))
+    # first each set with one other: the smallest of most of its lists; heavy lists' heads with each other
+    heads = met.filter("salt >= 0").select("k", "rep").distinct()
+    firsts = heads.groupBy("k").agg(F.min("rep").alias("first"))
+    across = heads.join(firsts, "k").select(F.col("rep").alias("b"), F.col("first").alias("a"))
+    near = met.select(F.col("id").alias("b"), F.col("rep").alias("a")).unionByName(across).filter("a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    likely = sized(near).filter(2 * F.col("n") > F.least(extra("na"), extra("nb")))
+    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    first_pairs = materialize(likely.withColumn("r", F.row_number().over(best)).filter("r = 1").select("a", "b"))
     listed = met.select("id").distinct().join(sets, "id").select("id", "row", "key")
     texts = materialize(_blobs(rows).join(listed, ["row", "key"]).groupBy("id").agg(F.first("blob").alias("blob")))
     links = materialize(_verify(first_pairs, texts, n, rule).distinct())
     parts = materialize(components(links))
+
     # sets of one list that are still apart
     at = met.select("k", "id").distinct().join(parts, "id", "left").select("k", "id", F.coalesce("component", "id").alias("part"))
-    at = materialize(at)
-    open_keys = at.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("k")
-    left = at.join(open_keys, "k", "left_semi").join(sizes, "id")
-    one, two = (left.select("k", *[F.col(c).alias(f"{c}{i}") for c in ("id", "part", "size")]) for i in (1, 2))
-    apart = one.join(two, "k").filter((F.col("part1") < F.col("part2")) & (F.least("size1", "size2") * den >= F.greatest("size1", "size2") * num))
-    apart = apart.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    at = materialize(at.join(sizes, "id"))
+    open_keys = at.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("sets")).filter("p != q")
+    left = materialize(at.join(open_keys.select("k", "sets"), "k"))
+    dropped = left.groupBy("id").agg(F.sum((F.col("sets") > LONG).cast("int")).alias("dropped"))
+    left = materialize(left.join(dropped, "id").withColumn("hot", F.col("dropped") > slack))
+
+    def apart(rows: DataFrame, spared: bool) -> DataFrame:
+        """Pairs of one list and of different components that share as much of their prefixes as they must."""
+        one, two = (rows.select("k", *[F.col(c).alias(f"{c}{i}") for c in ("id", "part", "size", "dropped")]) for i in (1, 2))
+        met_in = one.join(two, "k").filter((F.col("part1") < F.col("part2")) & (F.least("size1", "size2") * den >= F.greatest("size1", "size2") * num))
+        aside = F.least("dropped1", "dropped2") if spared else F.lit(0)
+        must = 1 + F.least(extra("size1"), extra("size2")) - aside
+        pairs = met_in.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).agg(F.count("*").alias("n"), F.first(must).alias("must"))
+        return pairs.filter(F.col("n") >= F.col("must")).select("a", "b")
+
+    hot = left.filter("hot")
+    hot_open = hot.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("k")
+    rest = apart(left.filter(F.col("sets") <= LONG), True).unionByName(apart(hot.join(hot_open, "k", "left_semi"), False)).distinct()
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(_verify(apart.join(tried, ["a", "b"], "left_anti"), texts, n, rule).distinct())
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
+    more = materialize(_verify(rest, texts, n, rule).distinct())
     if more.isEmpty():
         return names, parts
     return names, materialize(components(links.unionByName(more)))
