@@ -17,17 +17,24 @@ UNEXPLAINED, REAL_MOVE, PROVIDER_BREAK = "UNEXPLAINED", "REAL_MOVE", "PROVIDER_B
 def jump_candidates(bars: DataFrame, claims: DataFrame | None = None, s: BreakSettings = BreakSettings()) -> DataFrame:
     """(symbol, date, prev_date, shift, z, one_day_end): large moves against the symbol's own robust volatility.
 
-    One pass over the tape in one partitioning; the trailing window is only sorted where a move is large.
+    One pass over the tape; the trailing window is only gathered where a move is large.
     """
     close, prev = F.col("close"), F.lag("close").over(BY_DATE)
     b = close_series(bars).withColumns({"n": F.count("*").over(Window.partitionBy("symbol")), "i": F.row_number().over(BY_DATE), "prev_date": F.lag("date").over(BY_DATE), "ret": F.when((close > 0) & (prev > 0), F.log(close / prev))})
-    b = b.withColumns({
-        "trail": F.collect_list("ret").over(BY_DATE.rowsBetween(-s.vol_lookback, -1)),
-        "before": F.collect_list("close").over(BY_DATE.rowsBetween(-s.persist_bars, -1)),
-        "after": F.collect_list("close").over(BY_DATE.rowsBetween(0, s.persist_bars - 1)),
-        "ret_next": F.lead("ret").over(BY_DATE), "next_date": F.lead("date").over(BY_DATE),
-    })
-    b = b.filter((F.col("n") >= 2 * s.persist_bars + 2) & (F.abs("ret") >= s.min_jump_ln))
+    b = b.withColumns({"ret_next": F.lead("ret").over(BY_DATE), "next_date": F.lead("date").over(BY_DATE)}).filter(F.col("n") >= 2 * s.persist_bars + 2)
+    # large moves are few: each fetches its own surroundings by blocks of bars, instead of a trailing list for every bar
+    reach = max(s.vol_lookback, s.persist_bars)
+    block = lambda c: F.floor(F.col(c) / reach)
+    large = b.filter(F.abs("ret") >= s.min_jump_ln)
+    asked = large.select("symbol", F.col("i").alias("at"), F.explode(F.sequence(F.floor((F.col("i") - reach) / reach), F.floor((F.col("i") + s.persist_bars) / reach))).alias("block"))
+    told = b.select("symbol", block("i").alias("block"), (F.col("i")).alias("j"), F.col("ret").alias("r"), F.col("close").alias("c"))
+    off = F.col("j") - F.col("at")
+    around = asked.join(told, ["symbol", "block"]).filter((off >= -reach) & (off < s.persist_bars)).groupBy("symbol", F.col("at").alias("i")).agg(
+        F.collect_list(F.when(off.between(-s.vol_lookback, -1), F.col("r"))).alias("trail"),
+        F.collect_list(F.when(off.between(-s.persist_bars, -1), F.col("c"))).alias("before"),
+        F.collect_list(F.when(off.between(0, s.persist_bars - 1), F.col("c"))).alias("after"),
+    )
+    b = large.join(around, ["symbol", "i"])
     b = b.withColumn("mid", upper_median(F.col("trail")))
     mad = upper_median(F.transform("trail", lambda x: F.abs(x - F.col("mid"))))
     sigma = F.when((F.size("trail") >= 10) & (mad > 0), 1.4826 * mad)
