@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tapeline.schemas import close_series
 from tapeline.settings import ChainSettings
 
-BY_DATE = Window.partitionBy("symbol").orderBy("date")
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def implied_ln(ratio_from: str = "ratio_from", ratio_to: str = "ratio_to") -> Column:
@@ -32,7 +34,7 @@ def upper_median(values: Column) -> Column:
 
 def bars_with_neighbours(bars: DataFrame, k: int = 3) -> DataFrame:
     """Each bar with the closes of the ``k`` bars up to it (``back``) and from it on (``ahead``)."""
-    back, ahead = BY_DATE.rowsBetween(-(k - 1), 0), BY_DATE.rowsBetween(0, k - 1)
+    back, ahead = by_date().rowsBetween(-(k - 1), 0), by_date().rowsBetween(0, k - 1)
     return close_series(bars).select("symbol", "date", F.collect_list("close").over(back).alias("back"), F.collect_list("close").over(ahead).alias("ahead"))
 
 
@@ -64,8 +66,8 @@ def with_own_gap(claims: DataFrame, bars: DataFrame, max_gap_days: int = 10) ->
 
 def unique_boundaries(claims: DataFrame, bars: DataFrame, s: ChainSettings = ChainSettings()) -> DataFrame:
     """(rid, tape_date, measured_1d) for claims with exactly one matching and lasting one-day move near their date."""
-    close, one = F.col("close"), F.lag("close").over(BY_DATE)
-    moves = close_series(bars).withColumns({"prev": one, "next": F.lead("close").over(BY_DATE), "n": F.count("*").over(Window.partitionBy("symbol"))})
+    close, one = F.col("close"), F.lag("close").over(by_date())
+    moves = close_series(bars).withColumns({"prev": one, "next": F.lead("close").over(by_date()), "n": F.count("*").over(Window.partitionBy("symbol"))})
     ratio = F.when((F.col("prev") > 0) & (close > 0), close / F.col("prev"))
     ratio_next = F.when((close > 0) & (F.col("next") > 0), F.col("next") / close)
     moves = moves.filter("n >= 3").select("symbol", F.col("date").alias("tape_date"), ratio.alias("r"), ratio_next.alias("r_next"), F.floor(F.unix_date("date") / 32).alias("bucket")).filter("r is not null")

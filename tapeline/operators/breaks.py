@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeline.functions.asof import asof
-from tapeline.functions.tape import BY_DATE, implied_ln, upper_median
+from tapeline.functions.tape import by_date, implied_ln, upper_median
 from tapeline.schemas import close_series
 from tapeline.settings import BreakSettings
 
@@ -19,9 +19,9 @@ def jump_candidates(bars: DataFrame, claims: DataFrame | None = None, s: BreakSe
 
     One pass over the tape; the trailing window is only gathered where a move is large.
     """
-    close, prev = F.col("close"), F.lag("close").over(BY_DATE)
-    b = close_series(bars).withColumns({"n": F.count("*").over(Window.partitionBy("symbol")), "i": F.row_number().over(BY_DATE), "prev_date": F.lag("date").over(BY_DATE), "ret": F.when((close > 0) & (prev > 0), F.log(close / prev))})
-    b = b.withColumns({"ret_next": F.lead("ret").over(BY_DATE), "next_date": F.lead("date").over(BY_DATE)}).filter(F.col("n") >= 2 * s.persist_bars + 2)
+    close, prev = F.col("close"), F.lag("close").over(by_date())
+    b = close_series(bars).withColumns({"n": F.count("*").over(Window.partitionBy("symbol")), "i": F.row_number().over(by_date()), "prev_date": F.lag("date").over(by_date()), "ret": F.when((close > 0) & (prev > 0), F.log(close / prev))})
+    b = b.withColumns({"ret_next": F.lead("ret").over(by_date()), "next_date": F.lead("date").over(by_date())}).filter(F.col("n") >= 2 * s.persist_bars + 2)
     # large moves are few: each fetches its own surroundings by blocks of bars, instead of a trailing list for every bar
     reach = max(s.vol_lookback, s.persist_bars)
     block = lambda c: F.floor(F.col(c) / reach)

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tapeline.functions.asof import asof
 
-_LATER = Window.partitionBy("symbol").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
 _EARLIEST = "0001-01-01"
 
 
+def _later() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def implied_events(claims: DataFrame) -> DataFrame:
     """(symbol, date, m): the product of ratio_from / ratio_to of a day's claims, where positive."""
     m = F.try_divide(F.col("ratio_from").cast("double"), F.col("ratio_to").cast("double"))
@@ -26,7 +29,7 @@ def _steps(claims: DataFrame) -> DataFrame:
     """
     events = implied_events(claims)
     begin = events.select("symbol").distinct().select("symbol", F.lit(_EARLIEST).cast("date").alias("date"), F.lit(1.0).alias("m"))
-    return events.unionByName(begin).select("symbol", "date", F.coalesce(F.product("m").over(_LATER), F.lit(1.0)).alias("factor"))
+    return events.unionByName(begin).select("symbol", "date", F.coalesce(F.product("m").over(_later()), F.lit(1.0)).alias("factor"))
 
 
 def build_factor_table(claims: DataFrame, start_date: str | None = None) -> DataFrame:

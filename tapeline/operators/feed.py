@@ -6,28 +6,31 @@ from math import exp
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tapeline.functions.asof import asof
-from tapeline.functions.tape import BY_DATE
+from tapeline.functions.tape import by_date
 from tapeline.schemas import close_series
 from tapeline.settings import FeedSettings
 
 STALE_FEED, ILLIQUID, UNVERIFIED, DATE_SHIFT = "STALE_FEED", "ILLIQUID", "UNVERIFIED", "DATE_SHIFT"
-_ALL = Window.partitionBy("symbol")
+
+
+def _all() -> WindowSpec:
+    return Window.partitionBy("symbol")
 
 
 def stale_runs(bars: DataFrame, witness: DataFrame | None = None, s: FeedSettings = FeedSettings()) -> DataFrame:
     """symbol, start, end, n_bars, close, witness_move, classification of runs of equal closes beyond the symbol's norm."""
-    changed = F.coalesce((F.col("close") != F.lag("close").over(BY_DATE)).cast("int"), F.lit(0))
-    b = close_series(bars).withColumns({"changed": changed, "before": F.lag("date").over(BY_DATE), "n": F.count("*").over(_ALL)})
-    b = b.filter(F.col("n") >= s.min_stale_run).withColumn("run", F.sum("changed").over(BY_DATE))
+    changed = F.coalesce((F.col("close") != F.lag("close").over(by_date())).cast("int"), F.lit(0))
+    b = close_series(bars).withColumns({"changed": changed, "before": F.lag("date").over(by_date()), "n": F.count("*").over(_all())})
+    b = b.filter(F.col("n") >= s.min_stale_run).withColumn("run", F.sum("changed").over(by_date()))
     runs = b.groupBy("symbol", "run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("n_bars"), F.first("close").alias("close"), F.min_by("before", "date").alias("before")).filter("n_bars > 1")
     # the quantile as a place in the sorted lengths, which a ranking gives without gathering them
-    rank, count = F.row_number().over(_ALL.orderBy("n_bars", "start")), F.count("*").over(_ALL)
+    rank, count = F.row_number().over(_all().orderBy("n_bars", "start")), F.count("*").over(_all())
     runs = runs.withColumns({"rank": rank, "runs": count})
     place = F.least(F.col("runs") - 1, F.floor(F.lit(s.own_run_quantile) * F.col("runs"))) + 1
-    own = F.max(F.when(F.col("rank") == place, F.col("n_bars"))).over(_ALL)
+    own = F.max(F.when(F.col("rank") == place, F.col("n_bars"))).over(_all())
     bar = F.when(F.col("runs") >= s.least_runs_for_quantile, F.greatest(own, F.lit(s.min_stale_run))).otherwise(s.min_stale_run)
     found = runs.withColumn("bar", bar).filter(F.col("n_bars") >= F.col("bar")).withColumn("before", F.coalesce("before", "start")).select("symbol", "start", "end", "n_bars", "close", "before")
     if witness is None:
@@ -49,20 +52,20 @@ def stale_runs(bars: DataFrame, witness: DataFrame | None = None, s: FeedSetting
 def date_shifts(bars: DataFrame, witness: DataFrame, s: FeedSettings = FeedSettings()) -> DataFrame:
     """Spans that fit the witness better one session off: shift +1 is stamped late, -1 early."""
     n = s.shift_window
-    counted = lambda df, name: close_series(df).withColumn("_n", F.count("*").over(_ALL)).filter(F.col("_n") >= n + 2).select("symbol", "date", F.col("close").alias(name))
+    counted = lambda df, name: close_series(df).withColumn("_n", F.count("*").over(_all())).filter(F.col("_n") >= n + 2).select("symbol", "date", F.col("close").alias(name))
     j = counted(bars, "p").join(counted(witness, "w"), ["symbol", "date"]).filter("p > 0 and w > 0")
-    j = j.withColumns({"_n": F.count("*").over(_ALL), "rp": F.log(F.col("p") / F.lag("p").over(BY_DATE)), "rw": F.log(F.col("w") / F.lag("w").over(BY_DATE))}).filter(F.col("_n") >= n + 2)
-    j = j.withColumns({"rw_prev": F.lag("rw").over(BY_DATE), "rw_next": F.lead("rw").over(BY_DATE)}).dropna(subset=["rp", "rw", "rw_prev", "rw_next"])
-    frame = BY_DATE.rowsBetween(-(n - 1), 0)
+    j = j.withColumns({"_n": F.count("*").over(_all()), "rp": F.log(F.col("p") / F.lag("p").over(by_date())), "rw": F.log(F.col("w") / F.lag("w").over(by_date()))}).filter(F.col("_n") >= n + 2)
+    j = j.withColumns({"rw_prev": F.lag("rw").over(by_date()), "rw_next": F.lead("rw").over(by_date())}).dropna(subset=["rp", "rw", "rw_prev", "rw_next"])
+    frame = by_date().rowsBetween(-(n - 1), 0)
     error = lambda c: F.avg(F.abs(F.col("rp") - F.col(c))).over(frame)
-    j = j.withColumns({"e0": error("rw"), "ep": error("rw_prev"), "em": error("rw_next"), "i": F.row_number().over(BY_DATE)}).filter(F.col("i") >= n)
+    j = j.withColumns({"e0": error("rw"), "ep": error("rw_prev"), "em": error("rw_next"), "i": F.row_number().over(by_date())}).filter(F.col("i") >= n)
     best = F.least("ep", "em")
     flag = F.when((F.col("e0") > s.shift_min_error_ln) & (best < s.shift_improvement * F.col("e0")), F.when(F.col("ep") <= F.col("em"), 1).otherwise(-1)).otherwise(0)
     j = j.withColumns({"shift": flag, "best": best, "k": F.col("i") - n})
     # a span starts n - 1 rows, of those that have an error, before its first flag
-    j = j.withColumns({"from": F.lag("date", n - 1).over(BY_DATE), "first": F.first("date").over(BY_DATE.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-    turn = F.coalesce((F.col("shift") != F.lag("shift").over(BY_DATE)).cast("int"), F.lit(0))
-    j = j.withColumn("turn", turn).withColumn("span", F.sum("turn").over(BY_DATE)).filter("shift != 0")
+    j = j.withColumns({"from": F.lag("date", n - 1).over(by_date()), "first": F.first("date").over(by_date().rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    turn = F.coalesce((F.col("shift") != F.lag("shift").over(by_date())).cast("int"), F.lit(0))
+    j = j.withColumn("turn", turn).withColumn("span", F.sum("turn").over(by_date())).filter("shift != 0")
     spans = j.groupBy("symbol", "span", "shift").agg(
         F.min_by(F.coalesce("from", "first"), "date").alias("start"), F.max("date").alias("end"), (F.max("k") - F.min("k") + n).cast("bigint").alias("n_sessions"),
         F.max("e0").alias("aligned_error"), F.min("best").alias("shifted_error"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeline.functions.tape import BY_DATE
+from tapeline.functions.tape import by_date
 from tapeline.settings import ReconcileSettings
 
 #: The outcome classes.
@@ -18,7 +18,7 @@ def aligned(ours: DataFrame, reference: DataFrame) -> DataFrame:
     """(symbol, date, a, b): both factors on every date of either side, each carried forward, both positive."""
     side = lambda df, c: df.select("symbol", F.col("date").cast("date").alias("date"), F.col("factor").cast("double").alias(c))
     both = side(ours, "a").join(side(reference, "b"), ["symbol", "date"], "full_outer")
-    upto = BY_DATE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = by_date().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = both.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in ("a", "b")})
     return carried.filter("a > 0 and b > 0")
 
@@ -57,7 +57,7 @@ def _match(s: ReconcileSettings) -> Column:
 
 def reconcile(ours: DataFrame, reference: DataFrame, explanations: DataFrame | None = None, symbols: DataFrame | None = None, s: ReconcileSettings = ReconcileSettings()) -> DataFrame:
     """A row per symbol: classification, detail, statistics of the level differences, and the event issues."""
-    j = aligned(ours, reference).withColumns({"diff": F.log("a") - F.log("b"), "sa": F.log("a") - F.lag(F.log("a")).over(BY_DATE), "sb": F.log("b") - F.lag(F.log("b")).over(BY_DATE)})
+    j = aligned(ours, reference).withColumns({"diff": F.log("a") - F.log("b"), "sa": F.log("a") - F.lag(F.log("a")).over(by_date()), "sb": F.log("b") - F.lag(F.log("b")).over(by_date())})
     events = lambda c: F.sort_array(F.collect_list(F.when(F.abs(c) > s.event_step_tol_ln, F.struct("date", F.col(c).alias("step")))))
     stats = j.groupBy("symbol").agg(
         F.count("*").alias("n"), F.percentile(F.abs("diff"), F.lit(0.5)).alias("median_abs"), F.max(F.abs("diff")).alias("max_abs"),

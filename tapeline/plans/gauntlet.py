@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeline.functions.scratch import materialize
-from tapeline.functions.tape import BY_DATE
+from tapeline.functions.tape import by_date
 from tapeline.operators import breaks, claims, guard
 from tapeline.settings import ChainSettings, GauntletSettings
 
@@ -64,7 +64,7 @@ def _walk(symbols: DataFrame, days: DataFrame, s: GauntletSettings) -> DataFrame
     each = symbols.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(s.n_trading_days - 1))))
     steps = each.join(F.broadcast(days), "i").withColumn("step", F.lit(s.daily_vol) * z)  # the calendar has n_trading_days rows
     base = lo * F.pow(F.lit(hi / lo), _u(s.seed, "symbol", 99))
-    return steps.withColumn("level", base * F.exp(F.sum("step").over(BY_DATE))).drop("step")
+    return steps.withColumn("level", base * F.exp(F.sum("step").over(by_date()))).drop("step")
 
 
 def build_universe(spark: SparkSession, s: GauntletSettings = GauntletSettings()) -> Universe:
