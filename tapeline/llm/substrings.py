@@ -190,19 +190,20 @@ def _emit_windows(length: int):
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(row, key, spans): per row with repeats, the starts of repeated windows as (lo, more). ``docs``: row, key, text."""
     found = materialize(_batches(docs, _emit_anchors(length, seed), "h long, e long, row long, key int, lo int, more int"))
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # counts are written before they are joined, so that both sides of a join are dealt anew and hot keys can be split
+    again = materialize(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     found = materialize(found.join(again, "h", "left_semi"))
     # one line for each different extension of each anchor: how often, and one place where
     exts = materialize(found.groupBy("h", "e").agg(F.count("*").alias("n"), F.min(F.struct("row", "key", "lo", "more")).alias("at")))
     full = exts.filter("n > 1").select("h", "e")
     whole = found.join(full, ["h", "e"], "left_semi").select("row", "key", "lo", "more")
     # anchors with several extensions: windows of one place each
-    several = exts.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
+    several = materialize(exts.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h"))
     ask = exts.join(several, "h", "left_semi").select("at.row", "at.key", "at.lo", "at.more")
     wanted = ask.groupBy("row", "key").agg(F.collect_list(F.struct("lo", "more")).alias("wanted"))  # no longer than its text
     asked = packed(docs).join(wanted, ["row", "key"]).select("row", "key", "blob", "wanted")
     windows = materialize(_batches(asked, _emit_windows(length), "row long, key int, start int, a long, b long"))
-    twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
+    twice = materialize(windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"))
     part = windows.join(twice, ["a", "b"], "left_semi").select("row", "key", F.col("start").alias("lo"), F.lit(0).alias("more"))
     return whole.unionByName(part).groupBy("row", "key").agg(F.collect_list(F.struct("lo", "more")).alias("spans"))
 
