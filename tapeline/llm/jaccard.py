@@ -15,8 +15,15 @@ every link is either verified or inside a component already, and the components
 
 Large sets take a longer prefix, k = 1 + size // STEP, so those that link share at least the smaller k of the two. That
 gives two exact savings. Lists of over LONG sets are left aside: a set with no more such lists than its partners' k - 1
-must meet every partner in a short list too, and only sets with more are compared within the long lists, among
-themselves. And pairs that share fewer elements than they must are dropped before their texts are fetched.
+must meet every partner in a short list too. And pairs that share fewer elements than they must are dropped before their
+texts are fetched.
+
+Sets with more long lists are near copies of something, or hold little but frequent passages. Each long list names its
+most central set as head, and each of those sets is compared with the heads of its lists, which gives what it lacks (d
+elements) and adds. Two sets near one head p share at most |p| - max(d) elements of it, so they can only link if that
+is enough for their sizes, which classes of (size, d) decide, or if they add a common element, which a join on added
+elements finds. Sets far from the head are compared in pairs among themselves; the Jaccard distance is a metric, so a
+near and a far set link only if the near one is in the band that this join takes in.
 
 Frequent elements are found by counting in every partition and summing the counts; they only move to the end of the
 order (at most ``MOST_FREQUENT`` of them are sent to the executors), which changes cost but no result.
@@ -44,6 +51,7 @@ from tapeline.llm.substrings import _Hashes
 MOST_FREQUENT = 1 << 16
 FREQUENT = 32
 STEP = 24
+FAR = 0.5  # Jaccard distance from a head up to which a set counts as near it
 LONG = 16  # sets in a list; a longer one is only used among sets that have many such
 MOST_SUBSETS = 64  # a set with more goes to the lists, whatever their cost
 SALTS = 16
@@ -254,6 +262,32 @@ def _verify(pairs: DataFrame, sets: DataFrame, n: int, rule: Rule) -> DataFrame:
     return _arrow(both, fn, "a long, b long")
 
 
+def _compare(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """(a, b, na, nb, both, added): sizes, common elements, and what b adds to a where the two are near."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("blob").alias("x")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("blob").alias("y")), "b").select("a", "b", "x", "y")
+
+    def fn(slices):
+        z, hashes = zstandard.ZstdDecompressor(), _Hashes()
+        kept: dict[int, np.ndarray] = {}
+        for one, two, xs, ys in slices:
+            out: list[list] = [[], [], [], [], [], []]
+            for a, b, x, y in zip(one, two, xs, ys, strict=True):
+                if a not in kept:
+                    if len(kept) > 200:
+                        kept.clear()
+                    kept[a] = shingles(hashes, z.decompress(x).decode(), n)
+                p, r = kept[a], shingles(hashes, z.decompress(y).decode(), n)
+                added = np.setdiff1d(r, p, assume_unique=True)
+                same = len(r) - len(added)
+                near = len(p) + len(r) - same <= same / (1 - FAR) + 1e-9
+                for o, v in zip(out, (a, b, len(p), len(r), same, added.view(np.int64) if near else []), strict=True):
+                    o.append(v)
+            yield out
+
+    return _arrow(both, fn, "a long, b long, na long, nb long, both long, added array<long>")
+
+
 def similar_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Documents (row, key, id, size) and components (id, component) of sets that link with another one."""
     sc = docs.sparkSession.sparkContext
@@ -305,19 +339,53 @@ def similar_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame
     dropped = left.groupBy("id").agg(F.sum((F.col("sets") > LONG).cast("int")).alias("dropped"))
     left = materialize(left.join(dropped, "id").withColumn("hot", F.col("dropped") > slack))
 
-    def apart(rows: DataFrame, spared: bool) -> DataFrame:
+    def apart(rows: DataFrame, spared: bool, one_is_enough: bool = False) -> DataFrame:
         """Pairs of one list and of different components that share as much of their prefixes as they must."""
         one, two = (rows.select("k", *[F.col(c).alias(f"{c}{i}") for c in ("id", "part", "size", "dropped")]) for i in (1, 2))
         met_in = one.join(two, "k").filter((F.col("part1") < F.col("part2")) & (F.least("size1", "size2") * den >= F.greatest("size1", "size2") * num))
         aside = F.least("dropped1", "dropped2") if spared else F.lit(0)
-        must = 1 + F.least(extra("size1"), extra("size2")) - aside
+        must = F.lit(1) if one_is_enough else 1 + F.least(extra("size1"), extra("size2")) - aside
         pairs = met_in.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).agg(F.count("*").alias("n"), F.first(must).alias("must"))
         return pairs.filter(F.col("n") >= F.col("must")).select("a", "b")
 
+    # sets with many long lists: each against the heads of its lists
     hot = left.filter("hot")
-    hot_open = hot.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("k")
-    rest = apart(left.filter(F.col("sets") <= LONG), True).unionByName(apart(hot.join(hot_open, "k", "left_semi"), False)).distinct()
-    tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    long_rows = hot.filter(F.col("sets") > LONG)
+    heads = materialize(long_rows.groupBy("k").agg(F.max_by("id", F.struct(F.col("dropped") / F.col("size"), "id")).alias("head")))
+    headed = materialize(long_rows.join(heads, "k").select("k", "id", "head"))
+    compared = materialize(_compare(headed.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts, n))
+    found = compared.filter(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    links = materialize(links.unionByName(found).distinct())
+    parts = materialize(components(links))
+    placed = lambda df: df.drop("part").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    left = materialize(placed(left))
+    still = materialize(left.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("k"))
+    left = materialize(left.join(still, "k", "left_semi"))
+    rest = apart(left.filter(F.col("sets") <= LONG), True)
+    # far from the head, in pairs
+    gap = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    at_head = compared.select(F.col("b").alias("id"), F.col("a").alias("head"), gap.alias("gap"), "na", "nb", (F.col("na") - F.col("both")).alias("d"), "added")
+    far = headed.join(at_head.filter(F.col("gap") >= FAR - (1 - num / den) - 1e-9).select("id", "head"), ["id", "head"]).select("k", "id")
+    far = left.filter("hot").join(far, ["k", "id"], "left_semi")
+    far_keys = materialize(far.select("k", "id").distinct().groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"))
+    rest = rest.unionByName(apart(far.join(far_keys, "k", "left_semi"), False, one_is_enough=True))
+    # near the head: by what they add, or by classes of size and lack
+    close = materialize(placed(at_head.filter(F.col("gap") <= FAR)))
+    fits = lambda lack, x: (num + den) * (F.col("na") - lack + x) >= num * (F.col("nb1") + F.col("nb2"))
+    adds = close.select("head", "na", "id", "part", "nb", "d", F.explode("added").alias("t"))
+    busy = materialize(adds.groupBy("head", "t").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("head", "t"))
+    adds = materialize(adds.join(busy, ["head", "t"], "left_semi"))
+    one, two = (adds.select("head", "t", "na", *[F.col(c).alias(f"{c}{i}") for c in ("id", "part", "nb", "d")]) for i in (1, 2))
+    common = one.join(two.drop("na"), ["head", "t"]).filter("part1 < part2").groupBy("head", "na", "id1", "id2", "nb1", "nb2", "d1", "d2").agg(F.count("*").alias("x"))
+    by_added = common.filter(fits(F.greatest("d1", "d2"), F.col("x")))
+    kinds = close.groupBy("head", "na", "nb", "d").agg(F.min("part").alias("p"), F.max("part").alias("q"))
+    one, two = (kinds.select("head", "na", *[F.col(c).alias(f"{c}{i}") for c in ("nb", "d", "p", "q")]) for i in (1, 2))
+    classes = one.join(two.drop("na"), "head").filter(fits(F.greatest("d1", "d2"), F.lit(0)) & ((F.col("p1") != F.col("q2")) | (F.col("q1") != F.col("p2")))).select("head", "nb1", "d1", "nb2", "d2")
+    one, two = (close.select("head", *[F.col(c).alias(f"{c}{i}") for c in ("id", "part", "nb", "d")]) for i in (1, 2))
+    by_class = materialize(classes).join(one, ["head", "nb1", "d1"]).join(two, ["head", "nb2", "d2"]).filter("part1 < part2")
+    named = [x.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")) for x in (by_added, by_class)]
+    rest = rest.unionByName(named[0]).unionByName(named[1]).distinct()
+    tried = first_pairs.unionByName(compared.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
     more = materialize(_verify(rest, texts, n, rule).distinct())
     if more.isEmpty():
