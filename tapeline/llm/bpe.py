@@ -33,6 +33,7 @@ from tapeline.llm.common import map_rows
 #: Fixed: the pre-split pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEPT_WORDS = 400_000
+KEPT_ARCS = 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -114,7 +115,7 @@ class Automaton:
             if left < 0 or not ok:
                 break
             t = left
-        if len(self.known) > 2_000_000:
+        if len(self.known) >= KEPT_ARCS:
             self.known.clear()
         self.known[key] = ok
         return ok

@@ -31,7 +31,6 @@ CLASSES = 1 << BITS
 LOW, HIGH = 0.003, 0.99
 LEAST_TRUSTED = 50
 MOST_LANGUAGES = 10_000
-COUNTED_AT_ONCE = 6 << 20
 
 _TABLE = np.full(0x3000, CLASSES - 1, np.uint8)
 _TABLE[0x80:] = 40 + np.arange(0x3000 - 0x80) % 16
@@ -68,22 +67,11 @@ def count_grams(texts: DataFrame) -> DataFrame:
     """(g, c): occurrences of each n-gram in all texts; summed in each partition before they are dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(1 << BITS * ORDER, np.int32), [], 0
-
-        def add() -> None:
-            nonlocal held, size
-            if held:
-                np.add(total, np.bincount(np.concatenate(held), minlength=len(total)), out=total, casting="unsafe")
-            held, size = [], 0
-
+        total = np.zeros(1 << BITS * ORDER, np.int32)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                if text:
-                    held.append(grams_of(text))
-                    size += len(text)
-                    if size > COUNTED_AT_ONCE:
-                        add()
-        add()
+            for i in range(b.num_rows):
+                if text := b.column(0)[i].as_py():
+                    np.add.at(total, grams_of(text), 1)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["g", "c"])
 
@@ -137,24 +125,27 @@ def surprise_table(model: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np
             low = dense.reshape(1, -1, CLASSES)
             dense = (w.reshape(-1, low.shape[1], 1) * low).reshape(-1)
         dense[g] = p
-    return -np.log(np.maximum(dense, 1e-12))
+    np.maximum(dense, 1e-12, out=dense)
+    np.log(dense, out=dense)
+    return np.negative(dense, out=dense)
 
 
-def score(docs: DataFrame, model: list, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: list, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, n_grams and nll (mean per n-gram of the whole text; null without text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    columns = keep if text in keep else [*keep, text]
 
     def run(slices: Iterator[dict]) -> Iterator[list[tuple]]:
         table = surprise_table(sent.value)
         for rows in slices:
             out = []
-            for *kept, text in zip(*(rows[c] for c in [*keep, "text"]), strict=True):
-                g = grams_of(text) if text else None
+            for said, *kept in zip(rows[text], *(rows[c] for c in keep), strict=True):
+                g = grams_of(said) if said else None
                 out.append((*kept, 0, None) if g is None else (*kept, len(g), float(table[g].mean(dtype=np.float64))))
             yield out
 
     kinds = dict(docs.dtypes)
-    return map_rows(docs, [*keep, "text"], run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_grams long", "nll double"]))
+    return map_rows(docs, columns, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_grams long", "nll double"]))
 
 
 def limits(scored: DataFrame, labels: DataFrame, low: float, high: float) -> DataFrame:
@@ -165,7 +156,7 @@ def limits(scored: DataFrame, labels: DataFrame, low: float, high: float) -> Dat
     return own.unionByName(good.agg(q).select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("everyone"), "q"))
 
 
-def _judge(scored: DataFrame, found: DataFrame) -> DataFrame:
+def _judge(scored: DataFrame, found: DataFrame, lang: str = "lang") -> DataFrame:
     """Adds ppl_low, ppl_high and keep. The limits are a row per language; sent whole only if that is few."""
     rows = found.limit(MOST_LANGUAGES + 1).collect()
     spark = scored.sparkSession
@@ -175,7 +166,7 @@ def _judge(scored: DataFrame, found: DataFrame) -> DataFrame:
         own = F.broadcast(spark.createDataFrame(small, "_lang string, _lo double, _hi double"))
     else:
         own = found.filter(~F.col("everyone")).select(F.col("lang").alias("_lang"), F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"))
-    out = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    out = scored.join(own, F.col(lang).eqNullSafe(F.col("_lang")), "left")
     lo, hi = (F.coalesce(F.col(c), F.lit(v).cast("double")) for c, v in (("_lo", every[0]), ("_hi", every[1])))
     keep = F.col("nll").isNotNull() & F.coalesce(F.col("nll").between(lo, hi), F.lit(True))
     return out.withColumns({"ppl_low": F.exp(lo), "ppl_high": F.exp(hi), "keep": keep}).drop("_lang", "_lo", "_hi")
@@ -198,6 +189,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: f
     model = train(_trusted_texts(docs, labels))
     found = limits(materialize(score(docs, model, ["doc_id", "lang"])), labels, low, high)
     names = [f"_c{i}" for i in range(len(docs.columns))]  # whatever they are called, the columns made here don't clash
-    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], "text", "lang")
-    judged = _judge(score(inner, model, [*names, "lang"]), found)
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    text, lang = (names[docs.columns.index(c)] for c in ("text", "lang"))
+    judged = _judge(score(inner, model, names, text), found, lang)
     return judged.filter("keep").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
