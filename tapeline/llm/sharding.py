@@ -47,7 +47,7 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
         wishes = (
             cells.join(goal, "text")
             .select("text", "shard", "n", F.col("g.near").alias("near"), (-F.col("g.to")).cast("int").alias("to"))
-            .filter((F.col("to") != F.col("shard")) & ((F.col("near") > F.col("n")) | ((F.col("near") == F.col("n")) & (F.col("to") < F.col("shard")))))
+            .filter((F.col("to") != F.col("shard")) & (F.col("near") >= F.col("n")))  # one goal for each text, so equal cells don't swap
         )
         # gain in eighths of an octave, finer parts by a hash: (level, part) orders the wishes of a target
         level = F.floor(8 * F.log2(F.col("near") - F.col("n") + 2)).cast("int")
