@@ -84,6 +84,55 @@ SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(rank AS BIGINT) AS rank, CAST(neig
 FROM ranked WHERE rank <= 10
 """
 
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: op5: windows by their text; places that a repeated window covers.
+OP5_SQL = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS MATERIALIZED (SELECT doc_id, k, array_to_string(ws[k:k + 34], ' ') AS t FROM w, unnest(range(1, len(ws) - 33)) u(k)),
+twice AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, j FROM win JOIN twice USING (t), unnest(range(k, k + 35)) u(j)),
+words AS (SELECT doc_id, j, ws[j] AS word FROM w, unnest(range(1, len(ws) + 1)) u(j)),
+kept AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.j) AS kept FROM words a ANTI JOIN gone g ON g.doc_id = a.doc_id AND g.j = a.j GROUP BY a.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+#: op9: windows of the items joined with windows of the documents by their text.
+OP9_SQL = (
+    r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(@, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(@, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+pat AS MATERIALIZED (SELECT DISTINCT item_id, least(len(ws), 10) AS m, array_to_string(ws[k:k + least(len(ws), 10) - 1], ' ') AS t FROM b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) u(k) WHERE len(ws) > 0),
+size AS (SELECT DISTINCT m FROM pat),
+win AS MATERIALIZED (SELECT doc_id, m, k, array_to_string(ws[k:k + m - 1], ' ') AS t FROM w, size, unnest(range(1, len(ws) - m + 2)) u(k)),
+met AS MATERIALIZED (SELECT doc_id, k, m, item_id FROM win JOIN pat USING (m, t)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n FROM met, unnest(range(k, k + m)) u(j) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM met WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(names.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+).replace("@", _FOLD)
+
+#: op10: common shingles counted for all pairs that have one, then reachability.
+OP10_SQL = (
+    r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(@, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[k:k + 3], ' ') AS t FROM w, unnest(range(1, len(ws) - 2)) u(k) WHERE len(ws) >= 4
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 3),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM sh a JOIN sh b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * common >= 85 * (p.n + q.n - common)),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(l.y, w.doc_id)) AS component_id
+FROM w LEFT JOIN size USING (doc_id) LEFT JOIN least_of l ON l.x = w.doc_id
+"""
+).replace("@", _FOLD)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hamming": OP4_SQL}
+    return {"op4_hamming": OP4_SQL, "op5_substrings": OP5_SQL, "op9_decontaminate": OP9_SQL, "op10_jaccard": OP10_SQL}
