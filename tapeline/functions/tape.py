@@ -42,21 +42,21 @@ def with_gap(ranges: DataFrame, bars: DataFrame, max_gap_days: int = 10, name: s
     """``ranges`` (symbol, first, last and more; unique ``rid``) with the measured close ratio across [first, last].
 
     Medians of up to three closes strictly after ``last`` and strictly before ``first``; null if a side is empty, more
-    than ``max_gap_days`` away or not positive. ``bars`` come from ``bars_with_neighbours``.
+    than ``max_gap_days`` away or not positive. ``bars`` come from ``bars_with_neighbours``. Only bars within those days
+    can count, so ranges meet the tape by symbol and block of days: the tape is neither sorted nor, beside few ranges,
+    shuffled.
     """
-    ends = ranges.select("rid", "symbol", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(True).alias("is_first")), F.struct(F.col("last").alias("at"), F.lit(False).alias("is_first")))).alias("e"))
-    asked = ends.select("symbol", F.unix_date("e.at").alias("t"), F.struct("rid", "e.is_first").alias("ask"))
-    told = bars.select("symbol", F.unix_date("date").alias("t"), F.struct("date", "back").alias("b"), F.struct("date", "ahead").alias("a"))
-    both = asked.unionByName(told, allowMissingColumns=True)
-    # bars of the claim's own day are on neither side, hence ranges that stop one day short
-    past = Window.partitionBy("symbol").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    future = Window.partitionBy("symbol").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumns({"before": F.last("b", ignorenulls=True).over(past), "after": F.last("a", ignorenulls=True).over(future)}).filter("ask is not null")
-    sides = seen.groupBy("ask.rid").agg(F.max(F.when(F.col("ask.is_first"), F.col("before"))).alias("before"), F.max(F.when(~F.col("ask.is_first"), F.col("after"))).alias("after"))
-    out = ranges.join(sides, "rid", "left")
-    near = (F.datediff("first", "before.date") <= max_gap_days) & (F.datediff("after.date", "last") <= max_gap_days)
-    b, a = middle(F.col("before.back")), middle(F.col("after.ahead"))
-    return out.withColumn(name, F.when(near & (b > 0) & (a > 0), a / b)).drop("before", "after")
+    sides = F.array(
+        F.struct(F.lit(True).alias("before"), F.date_sub("first", max_gap_days).alias("lo"), F.date_sub("first", 1).alias("hi")),
+        F.struct(F.lit(False).alias("before"), F.date_add("last", 1).alias("lo"), F.date_add("last", max_gap_days).alias("hi")),
+    )
+    block = lambda c: F.floor(F.unix_date(c) / 16)
+    asked = ranges.select("rid", "symbol", F.explode(sides).alias("e")).select("rid", "symbol", "e.*").withColumn("block", F.explode(F.sequence(block("lo"), block("hi"))))
+    told = bars.select("symbol", block("date").alias("block"), "date", "back", "ahead")
+    met = asked.join(told, ["symbol", "block"]).filter(F.col("date").between(F.col("lo"), F.col("hi")))
+    sides = met.groupBy("rid").agg(F.max_by("back", F.when(F.col("before"), F.col("date"))).alias("back"), F.min_by("ahead", F.when(~F.col("before"), F.col("date"))).alias("ahead"))
+    b, a = middle(F.col("back")), middle(F.col("ahead"))
+    return ranges.join(sides, "rid", "left").withColumn(name, F.when((b > 0) & (a > 0), a / b)).drop("back", "ahead")
 
 
 def with_own_gap(claims: DataFrame, bars: DataFrame, max_gap_days: int = 10) -> DataFrame:
