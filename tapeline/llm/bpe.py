@@ -32,7 +32,7 @@ from tapeline.llm.common import map_rows
 
 #: Fixed: the pre-split pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 KEPT_ARCS = 400_000
 
 
@@ -196,6 +196,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep: list[str] | Non
                 row = (*kept, sum([x[1] for x in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
                 out.append((*row, [int(i) for i in ids.split(",")] if ids else [], decoded.decode()) if with_ids else row)
             yield out
+        auto.known.clear()
 
     kinds = dict(docs.dtypes)
     more = ["ids array<int>", "decoded string"] if with_ids else []

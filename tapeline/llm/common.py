@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +62,14 @@ def with_index(df: DataFrame, *order: Column | str, name: str = "idx") -> DataFr
     return joined.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_start", "_at")
 
 
+def release_memory() -> None:
+    """Give what a finished task has freed back to the system: workers live on beside the next stages' ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[dict]], Iterator[tuple]], schema: str, chunk: int = 500) -> DataFrame:
     """``fn`` maps column lists to row tuples, over Arrow batches cut to ``chunk`` rows so that memory stays bounded."""
     fields = df.sparkSession.createDataFrame([], schema).schema
@@ -80,5 +89,6 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[dict]], I
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], names=names)
+        release_memory()
 
     return df.select(*columns).mapInArrow(run, fields)

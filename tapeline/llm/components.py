@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(edges)
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written first, so that both sides of the join are dealt anew and a number with very many links can be split
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -76,7 +76,7 @@ def _scan(docs: DataFrame, keep: list[str], tables: object) -> DataFrame:
         ready = tables.value
         for rows in slices:
             out = []
-            for *kept, text in zip(*(rows[c] for c in [*keep, "text"]), strict=True):
+            for text, *kept in zip(rows["text"], *(rows[c] for c in keep), strict=True):
                 words, hit, items = words_of(text), set(), set()
                 for t in ready:
                     t.search(words, hit, items)
@@ -85,7 +85,7 @@ def _scan(docs: DataFrame, keep: list[str], tables: object) -> DataFrame:
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_words long", "hits array<int>", "items array<string>"])
-    return map_rows(docs, [*keep, "text"], run, schema)
+    return map_rows(docs, keep if "text" in keep else [*keep, "text"], run, schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -128,5 +128,6 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Da
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without any word inside an occurrence, with their own columns."""
-    found = find_leaks(docs, benchmark, width, keep=docs.columns)
-    return found.filter(F.size("hits") == 0).select(*docs.columns)
+    names = [c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]  # whatever the columns are called, nothing clashes
+    found = find_leaks(docs.toDF(*names), benchmark, width, keep=names)
+    return found.filter(F.size("hits") == 0).select(*names).toDF(*docs.columns)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeline.llm.common import materialize
+from tapeline.llm.common import materialize, release_memory
 from tapeline.llm.components import components
 from tapeline.llm.substrings import _Hashes
 
@@ -56,7 +56,7 @@ LONG = 16  # sets in a list; a longer one is only used among sets that have many
 MOST_SUBSETS = 64  # a set with more goes to the lists, whatever their cost
 SALTS = 16
 SLICE = 400
-COUNTED_AT_ONCE = 4 << 20
+COUNTED_AT_ONCE = 2 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x9FB21C651E98DF25], np.uint64)
 
 
@@ -140,6 +140,7 @@ def _arrow(df: DataFrame, fn, schema: str) -> DataFrame:
 
         for cols in fn(slices()):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+        release_memory()
 
     return df.mapInArrow(run, fields)
 
@@ -193,7 +194,7 @@ def _keys(rows: DataFrame, n: int, rule: Rule, frequent: object) -> DataFrame:
                 name = xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
                 if name in done:
                     continue
-                if len(done) > 1_000_000:
+                if len(done) > 200_000:
                     done.clear()
                 done.add(name)
                 add(out, x, name, at, heavy)
@@ -397,7 +398,7 @@ def similarity_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     """Per document row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     names, parts = similar_sets(docs, n, num, den)
     named = names.join(parts, "id", "left").select("row", "size", F.coalesce("component", "id").alias("part"))
-    first = named.filter(F.col("part").isNotNull()).groupBy("part").agg(F.min("row").alias("first"))
+    first = materialize(named.filter(F.col("part").isNotNull()).groupBy("part").agg(F.min("row").alias("first")))
     done = named.join(first, "part", "left")
     own = F.when(F.col("row") == -1, None).otherwise(F.col("row"))
     return done.select(own.alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("first", "row").alias("component_id"))

@@ -223,7 +223,7 @@ class Pseudonyms:
 
 
 def pseudonymize(docs: DataFrame, key: bytes, keep: list[str] | None = None) -> DataFrame:
-    """All columns of ``docs`` (or ``keep``), ``text`` with pseudonyms, and ``n_found``."""
+    """All columns of ``docs`` (or ``keep``), ``text`` with pseudonyms, and ``n_found`` unless one of them is called so."""
     keep = keep or docs.columns
     names = [f"_c{i}" for i in range(len(keep))]
     inner = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(keep, names, strict=True)])
@@ -240,4 +240,4 @@ def pseudonymize(docs: DataFrame, key: bytes, keep: list[str] | None = None) ->
 
     kinds = dict(inner.dtypes)
     done = map_rows(inner, names, run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "n_found long"]))
-    return done.toDF(*keep, "n_found")
+    return done.drop("n_found").toDF(*keep) if "n_found" in keep else done.toDF(*keep, "n_found")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import map_rows, materialize
+from tapeline.llm.common import map_rows, materialize, release_memory
 
 ORDER = 4
 BITS = 6
@@ -74,6 +74,8 @@ def count_grams(texts: DataFrame) -> DataFrame:
                     np.add.at(total, grams_of(text), 1)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["g", "c"])
+        del total
+        release_memory()
 
     return texts.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -143,6 +145,7 @@ def score(docs: DataFrame, model: list, keep: list[str], text: str = "text") ->
                 g = grams_of(said) if said else None
                 out.append((*kept, 0, None) if g is None else (*kept, len(g), float(table[g].mean(dtype=np.float64))))
             yield out
+        del table
 
     kinds = dict(docs.dtypes)
     return map_rows(docs, columns, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_grams long", "nll double"]))

@@ -28,11 +28,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import materialize
+from tapeline.llm.common import materialize, release_memory
 
 LENGTH = 35
 SEED = 8
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # odd multipliers of the rolling hashes
 
 
@@ -156,6 +156,7 @@ def _batches(df: DataFrame, fn, schema: str) -> DataFrame:
             for at in range(0, b.num_rows, 400):
                 for cols in fn(roller, b.slice(at, 400)):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

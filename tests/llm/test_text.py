@@ -112,6 +112,7 @@ def test_pseudonyms_keep_what_is_not_valid(docs):
     assert pseudonyms.luhn_digit(card[:-1]) == card[-1]
     got = pseudonyms.pseudonymize(docs(*ODD, "ip 42.144.35.254"), b"k")
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_found"]
+    assert pseudonyms.pseudonymize(docs("a").withColumnRenamed("lang", "n_found"), b"k").columns == ["doc_id", "text", "n_found", "source", "n_chars"]
     rows = {r.doc_id: r for r in got.collect()}
     assert [rows[i].text for i in range(len(ODD))] == ODD and rows[len(ODD)].n_found == 1
 
@@ -313,7 +314,8 @@ def test_decontamination(docs, spark, shard_bytes):
                         hit.update(range(k, k + len(p)))
                         names.add(name)
         assert (got[i].n_words, got[i].hits, got[i]["items"]) == (len(w), sorted(hit), sorted(x for x in names if x))
-    clean = decontaminate.drop_leaks(docs(*texts), bench)
+    clean = decontaminate.drop_leaks(docs(*texts).withColumnRenamed("source", "hits").withColumnRenamed("lang", "n_words"), bench)
+    assert clean.columns == ["doc_id", "text", "n_words", "hits", "n_chars"]
     assert {x.doc_id for x in clean.collect()} == {i for i in got if not got[i].hits}
 
 
