@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from tapeline.schemas import HISTORY
+
 _FAR = "9999-12-31"
 
 
@@ -30,6 +35,11 @@ def validate_history(history: DataFrame) -> DataFrame:
     return history
 
 
+def symbol_history(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
+    """(security_id, symbol, valid_from, valid_to or None) rows as a validated history; a null end is open."""
+    return validate_history(spark.createDataFrame(list(rows), StructType.fromDDL(HISTORY)))
+
+
 def rekey_by_security(df: DataFrame, history: DataFrame, date_col: str = "date", symbol_col: str = "symbol", keep_ticker_as: str | None = "ticker", unmatched: str = "keep") -> DataFrame:
     """``symbol_col`` becomes the id of the security that owned the ticker on the row's date.
 

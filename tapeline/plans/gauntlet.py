@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeline.functions.scratch import materialize
-from tapeline.functions.tape import by_date
+from tapeline.functions.tape import bars_with_neighbours, by_date
 from tapeline.operators import breaks, claims, guard
 from tapeline.settings import ChainSettings, GauntletSettings
 
@@ -151,6 +151,17 @@ def score(u: Universe) -> DataFrame:
     return p.groupBy("class", "category").agg(F.count("*").alias("n"), F.avg(good.cast("double")).alias("rate"), (F.sum("bad") / F.sum("bars")).alias("flagged_bars"))
 
 
+def vintage_awareness(u: Universe) -> DataFrame:
+    """How many real claims over tapes that came adjusted survive without and with the vintage table."""
+    near = bars_with_neighbours(u.bars)
+    real = u.claims.join(u.vintage.select("symbol").distinct(), "symbol", "left_semi")
+    kept = [claims.refute_phantoms(real, near, v).kept.select(F.lit(name).alias("vintage")) for name, v in (("without", None), ("with", u.vintage))]
+    n = real.agg(F.count("*").alias("n"))
+    counts = kept[0].unionByName(kept[1]).groupBy("vintage").agg(F.count("*").alias("survived"))
+    names = u.claims.sparkSession.createDataFrame([("without",), ("with",)], "vintage string")
+    return names.join(F.broadcast(counts), "vintage", "left").join(F.broadcast(n)).select("vintage", F.coalesce("survived", F.lit(0)).alias("survived"), "n")
+
+
 def break_benchmark(spark: SparkSession, rounds: int = 20, sessions: int = 252, seed: int = 2026) -> DataFrame:
     """A row per break class with the rate of rounds handled right."""
     s = GauntletSettings(seed=seed, n_trading_days=sessions)
@@ -191,6 +202,10 @@ def scorecard(spark: SparkSession, s: GauntletSettings = GauntletSettings(), rou
     return main.unionByName(more).withColumns({"floor": floor, "met": met})
 
 
+def vintage_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vintage_awareness(build_universe(spark, GauntletSettings(n_instances_per_class=6, n_clean_symbols=2)))
+
+
 def scorecard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scorecard at a small size; it reads no table."""
     return scorecard(spark, GauntletSettings(n_instances_per_class=6, n_clean_symbols=10), rounds=6)

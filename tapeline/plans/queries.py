@@ -149,7 +149,7 @@ def history_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tapeline.plans.gauntlet import scorecard_query
+    from tapeline.plans.gauntlet import scorecard_query, vintage_query
 
     return {
         "apply_adjustment_daily": apply_adjustment_daily,
@@ -186,4 +186,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "last_bar": lambda s, d: last_bar_dates(_bars(s, d)),
         "symbols": lambda s, d: symbols_of(_bars(s, d)),
         "gauntlet_scorecard": scorecard_query,
+        "gauntlet_vintage": vintage_query,
     }

@@ -224,6 +224,7 @@ def test_identity(spark):
     with pytest.raises(ValueError, match="inverted"):
         identity.validate_history(history(spark, ("A", "T", day(5), day(0))))
     assert identity.validate_history(h) is h
+    assert identity.symbol_history(spark, [("A", "T", day(0), None)]).count() == 1
 
 
 # -- sources ----------------------------------------------------------------------------------------------------------
@@ -255,6 +256,12 @@ def test_gauntlet_meets_every_floor(spark):
     assert [r["class"] for r in got if not r["met"]] == []
 
 
+def test_vintage_keeps_real_claims_over_adjusted_tapes(spark):
+    from tapeline.plans.gauntlet import vintage_query
+
+    assert rows(vintage_query(spark, ""), "vintage", "survived", "n") == [("with", 6, 6), ("without", 0, 6)]
+
+
 def test_entry_and_oracles():
     import __spark_entry__ as e
 
