@@ -374,11 +374,15 @@ def similar_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame
     close = materialize(placed(at_head.filter(F.col("gap") <= FAR)))
     fits = lambda lack, x: (num + den) * (F.col("na") - lack + x) >= num * (F.col("nb1") + F.col("nb2"))
     adds = close.select("head", "na", "id", "part", "nb", "d", F.explode("added").alias("t"))
-    busy = materialize(adds.groupBy("head", "t").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("head", "t"))
-    adds = materialize(adds.join(busy, ["head", "t"], "left_semi"))
-    one, two = (adds.select("head", "t", "na", *[F.col(c).alias(f"{c}{i}") for c in ("id", "part", "nb", "d")]) for i in (1, 2))
-    common = one.join(two.drop("na"), ["head", "t"]).filter("part1 < part2").groupBy("head", "na", "id1", "id2", "nb1", "nb2", "d1", "d2").agg(F.count("*").alias("x"))
-    by_added = common.filter(fits(F.greatest("d1", "d2"), F.col("x")))
+    busy = materialize(adds.groupBy("head", "t").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("c")).filter("p != q").select("head", "t", "c"))
+    own = Window.partitionBy("head", "id")
+    adds = adds.join(busy, ["head", "t"]).withColumns({"pos": F.row_number().over(own.orderBy("c", "t")), "a": F.count("*").over(own)})
+    adds = materialize(adds.drop("c"))
+    one, two = (adds.select("head", "t", "na", *[F.col(c).alias(f"{c}{i}") for c in ("id", "part", "nb", "d", "pos", "a")]) for i in (1, 2))
+    # a pair that must add so many common elements has one of them early in both orders, rare before frequent
+    lacking = F.ceil(num * (F.col("nb1") + F.col("nb2")) / (num + den) - 1e-9) - F.col("na") + F.greatest("d1", "d2")
+    early = (F.col("pos1") <= F.col("a1") - lacking + 1) & (F.col("pos2") <= F.col("a2") - lacking + 1)
+    by_added = one.join(two.drop("na"), ["head", "t"]).filter((F.col("part1") < F.col("part2")) & (lacking >= 1) & early)
     kinds = close.groupBy("head", "na", "nb", "d").agg(F.min("part").alias("p"), F.max("part").alias("q"))
     one, two = (kinds.select("head", "na", *[F.col(c).alias(f"{c}{i}") for c in ("nb", "d", "p", "q")]) for i in (1, 2))
     classes = one.join(two.drop("na"), "head").filter(fits(F.greatest("d1", "d2"), F.lit(0)) & ((F.col("p1") != F.col("q2")) | (F.col("q1") != F.col("p2")))).select("head", "nb1", "d1", "nb2", "d2")
