@@ -32,8 +32,8 @@ from tapeline.llm.common import map_rows
 
 #: Fixed: the pre-split pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_WORDS = 300_000
-KEPT_ARCS = 400_000
+KEPT_WORDS = 400_000
+KEPT_ARCS = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -68,6 +68,7 @@ class Automaton:
             self.state[w] = target
             self.parts[w] = (rank, u)
             self.label[w] = as_bytes(a) + as_bytes(b)
+        self.digits = {i: str(i) for i in self.label}
         self.known: dict[int, bool] = {}
         self._trie()
         special = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
@@ -149,7 +150,7 @@ class Automaton:
         """The word's ids joined by commas, how many they are, and the bytes they decode to."""
         if (got := self.kept.get(word)) is None:
             ids = self.encode_word(word.encode("utf-8", "replace"))
-            got = (",".join(map(str, ids)), len(ids), self.decode(ids))
+            got = (",".join([self.digits[i] for i in ids]), len(ids), self.decode(ids))
             if len(self.kept) >= KEPT_WORDS:
                 self.kept.clear()
             if len(word) <= 100:
@@ -191,12 +192,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep: list[str] | Non
             out = []
             for *kept, text in zip(*(rows[c] for c in [*keep, "text"]), strict=True):
                 got = auto.pieces(text or "")
-                ids = ",".join([x[0] for x in got])
-                decoded = b"".join([x[2] for x in got]).decode("utf-8", "replace").encode("utf-8")
-                row = (*kept, sum([x[1] for x in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                said, sizes, labels = zip(*got, strict=True) if got else ((), (), ())
+                ids = ",".join(said)
+                decoded = b"".join(labels).decode("utf-8", "replace").encode("utf-8")
+                row = (*kept, sum(sizes), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
                 out.append((*row, [int(i) for i in ids.split(",")] if ids else [], decoded.decode()) if with_ids else row)
             yield out
-        auto.known.clear()
 
     kinds = dict(docs.dtypes)
     more = ["ids array<int>", "decoded string"] if with_ids else []
