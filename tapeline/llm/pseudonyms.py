@@ -1,10 +1,11 @@
 """Format-preserving Feistel pseudonyms for personal numbers, dates, addresses and keys.
 
 What is found is first validated (card numbers by Luhn, IBANs by mod 97, IP octets, calendar dates, area codes), so
-other numbers stay. A validated value's variable part is read as a number below some limit and permuted there by a keyed
-balanced Feistel network with cycle walking; check digits are made anew, separators, prefixes and case stay. The same
-value gives the same pseudonym in every document, whatever its separators, and with the key the permutation can be
-undone.
+other numbers stay. Keys are known by their prefix, or by a name such as ``token`` before ``=`` or ``:``, in any case,
+with or without blanks and quotes. A validated value's variable part is read as a number below some limit and permuted
+there by a keyed balanced Feistel network with cycle walking; check digits are made anew, separators, prefixes and case
+stay. The same value gives the same pseudonym in every document, whatever its separators, and with the key the
+permutation can be undone.
 
 Edge cases: null text stays null; empty text and text without such values stay as they are; a value that is
 part of a longer word or number is not one; repeated rows give equal results; ``n_found`` is 0 for null text.
@@ -27,6 +28,11 @@ from tapeline.llm.common import map_rows
 #: Only for tests and reports: real runs pass their own secret.
 DEMO_KEY = b"tapeline demo key"
 ROUNDS = 8
+# a key's name and what stands between it and the value
+_NAMED = r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?[ \t]{0,8}(?:=>|:=|[=:])[ \t]{0,8}"
+# up to the closing quote, or a word without the marks that end it
+_KEY_VALUE = rf"(?<={_NAMED}\")[^\"\n]{{6,128}}(?=\")|(?<={_NAMED}')[^'\n]{{6,128}}(?=')|(?<={_NAMED}[\"']?)[^\s\"'<>]{{5,}}[^\s\"'<>.,;:!?)\]}}]"
+_HEX = regex.compile(r"(?=\d*[a-fA-F])(?:[0-9a-f]{32,}|[0-9A-F]{32,})").fullmatch
 _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 
 
@@ -84,7 +90,7 @@ class Pseudonyms:
         kinds: list[tuple[str, str, Callable[[str], str | None]]] = [
             ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])", self.email),
             ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", self.iban),
-            ("secret", r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?:ghp_|gho_|sk-|sk_live_|xox[abp]-)[A-Za-z0-9]{16,}(?!\w)|(?<=(?:password|passwd|secret|token|api_key|apikey)[=:])[^\s\"'<>]{6,}", self.secret),
+            ("secret", r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?:ghp_|gho_|sk-|sk_live_|xox[abp]-)[A-Za-z0-9]{16,}(?!\w)|" + _KEY_VALUE, self.secret),
             ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)", self.ip),
             ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w]|[-/.]\d)", self.date),
             ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", self.ssn),
@@ -95,7 +101,7 @@ class Pseudonyms:
         # the kinds' own groups (separators of dates) get names, so that they can be combined
         whole = "|".join(f"(?P<{name}>{p})" for name, p, _ in kinds).replace("([-/.])\\d{1,2}\\1", "(?P<s1>[-/.])\\d{1,2}(?P=s1)").replace("([-/.])\\d{1,2}\\2", "(?P<s2>[-/.])\\d{1,2}(?P=s2)")
         self.find = regex.compile(whole)
-        self.maybe = regex.compile(r"\d|@|(?:password|passwd|secret|token|api_key|apikey|sk-|ghp_|gho_|sk_live_|xox[abp]-)").search
+        self.maybe = regex.compile(r"\d|@|(?i:password|passwd|secret|token|api[_-]?key)|(?:sk-|ghp_|gho_|sk_live_|xox[abp]-)").search
 
     # -- parts ------------------------------------------------------------------------------------------------------
     def _digits(self, kind: str, digits: str) -> str:
@@ -140,7 +146,16 @@ class Pseudonyms:
 
     def secret(self, s: str) -> str:
         head = next((p for p in ("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "sk-", "xoxa-", "xoxb-", "xoxp-") if s.startswith(p)), "")
-        return head + self._text("secret", s[len(head) :])
+        body = s[len(head) :]
+        hexadecimal = bool(_HEX(body))
+        while True:  # cycle walking among the values of the same format
+            body = self._hex(body, s.upper() == s) if hexadecimal else self._text("secret", body)
+            if bool(_HEX(body)) == hexadecimal:
+                return head + body
+
+    def _hex(self, s: str, upper: bool) -> str:
+        new = f"{self.turn('hex', 16 ** len(s), int(s, 16)):0{len(s)}x}"
+        return new.upper() if upper else new
 
     def ip(self, s: str) -> str | None:
         parts = [int(x) for x in s.split(".")]

@@ -105,6 +105,23 @@ def test_pseudonyms(value):
     assert pseudonyms.Pseudonyms(b"other").replace(f"see {value}")[0] != f"see {a}"
 
 
+@pytest.mark.parametrize(
+    ("before", "value", "after"),
+    [
+        ('token = "', "04dbebab91ab85687d33eeaaf9ac699e1188f962", '" end'), ('TOKEN = "', "04dbebab91ab85687d33eeaaf9ac699e1188f962", '"!!'), ("Api_Key: '", "0F1E2D3C4B5A69788796A5B4C3D2E1F0", "'"),
+        ('{"client_secret": "', "aB3_x-9k", '"}'), ("password=", "hunter22", ", then"), ("Passwd : ", "s3cr3t.word", "."), ('password = "', "correct horse battery", '"'),
+    ],
+)
+def test_named_secrets(before, value, after):
+    new, n = pseudonyms.Pseudonyms(b"k").replace(f"x {before}{value}{after}")
+    assert n == 1 and new.startswith(f"x {before}") and new.endswith(after) and value not in new
+    hidden = new[2 + len(before) : len(new) - len(after)]
+    same = str.isdigit if not value[:32].isalnum() or len(value) < 32 else lambda c: c in "0123456789abcdefABCDEF"
+    assert len(hidden) == len(value) and all(same(a) == same(b) for a, b in zip(hidden, value, strict=True))
+    assert (hidden == hidden.upper()) == (value == value.upper())
+    assert pseudonyms.Pseudonyms(b"k", -1).replace(new)[0] == f"x {before}{value}{after}"
+
+
 def test_pseudonyms_keep_what_is_not_valid(docs):
     for text in ("v 4.0. 12345", "1234567890123456", "300.1.1.1", "2021-13-40", "666-45-6789", "", "plain words"):
         assert pseudonyms.Pseudonyms(b"k").replace(text) == (text, 0)
