@@ -8,7 +8,9 @@ stay. The same value gives the same pseudonym in every document, whatever its se
 permutation can be undone.
 
 Edge cases: null text stays null; empty text and text without such values stay as they are; a value that is
-part of a longer word or number is not one; repeated rows give equal results; ``n_found`` is 0 for null text.
+part of a longer word or number is not one; where tokens after a value would fit its pattern, the usual length of a card
+or IBAN is tried first and then shorter ends from the longest, so digits that can be read in two ways next to a value may
+not be restored exactly; repeated rows give equal results; ``n_found`` is 0 for null text.
 """
 
 from __future__ import annotations
@@ -33,6 +35,14 @@ _NAMED = r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?[ \t]{0,8}(?:=>|:=
 # up to the closing quote, or a word without the marks that end it
 _KEY_VALUE = rf"(?<={_NAMED}\")[^\"\n]{{6,128}}(?=\")|(?<={_NAMED}')[^'\n]{{6,128}}(?=')|(?<={_NAMED}[\"']?)[^\s\"'<>]{{5,}}[^\s\"'<>.,;:!?)\]}}]"
 _HEX = regex.compile(r"(?=\d*[a-fA-F])(?:[0-9a-f]{32,}|[0-9A-F]{32,})").fullmatch
+_TOKEN = regex.compile(r"[^\W_]+|[\W_]+[^\W_]*").match
+_GAP = regex.compile(r"(?<=[^\W_])[\W_]+").finditer
+_GOES_ON = regex.compile(r"\w|-\d").match
+_IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27,
+    "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31,
+    "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
 _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 
 
@@ -101,6 +111,7 @@ class Pseudonyms:
         # the kinds' own groups (separators of dates) get names, so that they can be combined
         whole = "|".join(f"(?P<{name}>{p})" for name, p, _ in kinds).replace("([-/.])\\d{1,2}\\1", "(?P<s1>[-/.])\\d{1,2}(?P=s1)").replace("([-/.])\\d{1,2}\\2", "(?P<s2>[-/.])\\d{1,2}(?P=s2)")
         self.find = regex.compile(whole)
+        self.alone = {name: regex.compile(p) for name, p, _ in kinds}
         self.maybe = regex.compile(r"\d|@|(?i:password|passwd|secret|token|api[_-]?key)|(?:sk-|ghp_|gho_|sk_live_|xox[abp]-)").search
 
     # -- parts ------------------------------------------------------------------------------------------------------
@@ -224,17 +235,44 @@ class Pseudonyms:
     def replace(self, text: str) -> tuple[str, int]:
         if not self.maybe(text):
             return text, 0
-        found = 0
-
-        def one(m: regex.Match) -> str:
-            nonlocal found
-            new = self.makers[m.lastgroup if m.lastgroup in self.makers else "date"](m[0])
-            if new is None:
-                return m[0]
-            found += 1
-            return new
-
-        return self.find.sub(one, text), found
+        out, found, done, at = [], 0, 0, 0
+        while m := self.find.search(text, at):
+            start, name = m.start(), m.lastgroup if m.lastgroup in self.makers else "date"
+            new, end = self._valid(text, start, m.end(), name)
+            if new is None:  # a value may begin at the next token
+                at = _TOKEN(text, start).end()
+                continue
+            out += text[done:start], new
+            found, done, at = found + 1, end, end
+        return "".join([*out, text[done:]]), found
+
+    def _valid(self, text: str, start: int, end: int, name: str) -> tuple[str | None, int]:
+        """Pseudonym and end of the value at ``start``: as far as it was found, or without its last tokens, or of a later kind."""
+        names = list(self.makers)
+        for kind in names[names.index(name) :]:
+            if kind != name:
+                m = self.alone[kind].match(text, start)
+                if not m:
+                    continue
+                end = m.end()
+            ends = [end, *(start + m.start() for m in reversed(list(_GAP(text[start:end]))))]
+            if kind == "phone":  # digits that are no number of a phone may be those of a card
+                card = self.alone["card"].search(text, _TOKEN(text, start).end())
+                if self.phone(text[start:end]) is None and card and card.start() < end and self._valid(text, card.start(), card.end(), "card")[0]:
+                    return None, end
+            usual = self._usual(kind, text[start:end])
+            for e in sorted(ends, key=lambda e: sum(map(str.isalnum, text[start:e])) != usual):
+                if e == end or self.alone[kind].fullmatch(text, start, e) and not _GOES_ON(text, e):
+                    new = self.makers[kind](text[start:e])
+                    if new is not None:
+                        return new, e
+        return None, end
+
+    def _usual(self, kind: str, s: str) -> int:
+        """The length that is tried first, which the pseudonym shows as well; 0 where there is none."""
+        if kind == "iban":
+            return _IBAN_LENGTH.get(s[:2], 0)
+        return (15 if s[0] == "3" else 16) if kind == "card" else 0
 
 
 def pseudonymize(docs: DataFrame, key: bytes, keep: list[str] | None = None) -> DataFrame:

@@ -122,6 +122,20 @@ def test_named_secrets(before, value, after):
     assert pseudonyms.Pseudonyms(b"k", -1).replace(new)[0] == f"x {before}{value}{after}"
 
 
+@pytest.mark.parametrize(
+    ("before", "value", "after"),
+    [
+        ("", "4111 1111 1111 1111", " 123"), ("", "4111 1111 1111 1111", " 12/27"), ("no 1234 ", "4111 1111 1111 1111", ""), ("", "3782 822463 10005", " 1234"), ("+1 ", "4111 1111 1111 1111", ""),
+        ("", "ES91 2100 0418 4502 0005 1332", " EUR"), ("AB13 ", "BE68 5390 0754 7034", " TO 12"), ("", "+44 20 7946 0958", " 2021 1111"), ("", "4111-1111-1111-1111", " 999"),
+    ],
+)
+def test_pseudonyms_beside_short_tokens(before, value, after):
+    new, n = pseudonyms.Pseudonyms(b"k").replace(f"pay {before}{value}{after} now")
+    alone, _ = pseudonyms.Pseudonyms(b"k").replace(value)
+    assert n == 1 and alone != value and new == f"pay {before}{alone}{after} now"
+    assert pseudonyms.Pseudonyms(b"k", -1).replace(new)[0] == f"pay {before}{value}{after} now"
+
+
 def test_pseudonyms_keep_what_is_not_valid(docs):
     for text in ("v 4.0. 12345", "1234567890123456", "300.1.1.1", "2021-13-40", "666-45-6789", "", "plain words"):
         assert pseudonyms.Pseudonyms(b"k").replace(text) == (text, 0)
