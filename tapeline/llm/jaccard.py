@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -289,10 +289,10 @@ def _compare(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     return _arrow(both, fn, "a long, b long, na long, nb long, both long, added array<long>")
 
 
-def similar_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Documents (row, key, id, size) and components (id, component) of sets that link with another one."""
+def similar_sets(docs: DataFrame, n: int, num: int, den: int, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents (row, key, id, size; ``key`` is a hash of the text) and components (id, component) of sets that link with another one."""
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("row"), F.hash("text").cast("long").alias("key"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("row"), (F.hash("text").cast("long") if key is None else key).alias("key"), "text")
     seen = materialize(_survey(rows, n))
     common = seen.filter("kind = 1").groupBy("id").agg(F.sum("size").alias("c")).filter(F.col("c") >= FREQUENT)
     top = common.orderBy(F.desc("c"), "id").limit(MOST_FREQUENT).toArrow()["id"].to_numpy().astype(np.int64)
@@ -409,7 +409,24 @@ def similarity_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` without those that link to a document of smaller id, directly or through others."""
+    """One row of ``docs`` for each component, of those with the smallest id, and all rows whose sets are empty.
+
+    Rows are told apart by id and text, so an id may stand for several texts; of rows with equal ids and texts one stays.
+    """
+    key = F.xxhash64("text")
+    names, parts = similar_sets(docs, n, num, den, key)
+    sets = names.filter(F.col("id").isNotNull()).groupBy("id", "row", "key").agg(F.count("*").alias("n"))
+    firsts = sets.groupBy("id").agg(F.min(F.struct("row", "key", "n")).alias("at"))
+    placed = firsts.join(parts, "id", "left").groupBy(F.coalesce("component", "id").alias("part")).agg(F.min("at").alias("at"))
+    chosen = materialize(placed.select(F.col("at.row").alias("_row"), F.col("at.key").alias("_key"), F.col("at.n").alias("_n")))
+    columns = [f"_c{i}" for i in range(len(docs.columns))]
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    classes = similarity_classes(docs, n, num, den).filter(F.col("component_id") == own).select(own.alias("_kept")).distinct()
-    return docs.join(classes, own == F.col("_kept"), "left_semi")
+    empty = F.coalesce(~F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(True))  # the blanks between words of bytes
+    keyed = docs.select(own.alias("_row"), key.alias("_key"), empty.alias("_empty"), *[docs[f"`{c}`"].alias(x) for c, x in zip(docs.columns, columns, strict=True)])
+    full = keyed.filter("not _empty")
+    once = full.join(chosen.filter("_n = 1"), ["_row", "_key"], "left_semi").select(*columns)
+    # rows that occur more than once meet in each task first; which of them stays is set by a hash of their other columns
+    again = full.join(chosen.filter("_n > 1"), ["_row", "_key"], "left_semi")
+    rank = F.xxhash64(*[c for c, kind in keyed.select(*columns).dtypes if "map<" not in kind])
+    again = again.groupBy("_row", "_key").agg(F.min_by(F.struct(*columns), rank).alias("v")).select("v.*")
+    return keyed.filter("_empty").select(*columns).unionByName(once).unionByName(again).toDF(*docs.columns)

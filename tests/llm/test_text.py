@@ -397,3 +397,16 @@ def test_keep_one(docs):
     texts = ["a b c d e f g h", "a b c d e f g h", "x y", None, ""]
     kept = jaccard.keep_one(docs(*texts))
     assert {r.doc_id for r in kept.collect()} == {0, 2, 3, 4} and kept.columns == docs("x").columns
+
+
+def test_keep_one_row_of_each_group(docs, spark):
+    r = random.Random(12)
+    a, b, c, d = (words(r, 60) for _ in range(4))
+    rows = [(5, a), (5, a), (5, a), (6, a + " tail"), (None, b), (None, b), (None, b + " tail"), (7, b), (None, c), (8, d), (9, d), (9, c + " end"), (9, "other text of nine"), (None, None), (None, ""), (3, " \n"), (3, " \n")]
+    df = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], docs("x").schema).repartition(3)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns and kept.schema.simpleString() == df.schema.simpleString()
+    got = Counter((x.doc_id, x.text) for x in kept.collect())
+    near = Counter({(i, t.removesuffix(" tail").removesuffix(" end")): n for (i, t), n in got.items() if t and t.strip()})
+    assert near == Counter([(5, a), (None, b), (None, c), (8, d), (9, "other text of nine")])
+    assert Counter({k: n for k, n in got.items() if not k[1] or not k[1].strip()}) == Counter([(None, None), (None, ""), (3, " \n"), (3, " \n")])
