@@ -35,6 +35,8 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
+#: What may stand in head; any other tag or text ends an open head.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 P_ENDS = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 GROUPS = [
     "content article post entry main body text story page column copy prose markdown",
@@ -73,10 +75,17 @@ def parse(page: str) -> list[Node]:
     nodes = [Node("html", -1, 0, False)]
     stack = [0]
     at, size = 0, len(page)
+
+    def end_head() -> None:
+        if len(stack) > 1 and nodes[stack[1]].tag == "head":
+            del stack[1:]
+
     while at < size:
         m = _TAG.search(page, at)
         end = m.start() if m else size
         if end > at:
+            if nodes[stack[-1]].tag == "head" and page[at:end].strip():
+                end_head()
             top = nodes[stack[-1]]
             if not top.hidden:
                 top.items.append(page[at:end])
@@ -99,6 +108,10 @@ def parse(page: str) -> list[Node]:
             continue
         if name == "html":
             continue
+        if name == "head" and (len(nodes) > 1 or any(t.strip() for t in nodes[0].items)):
+            continue  # only the first thing of a page can be its head
+        if name not in IN_HEAD:
+            end_head()
         if name in P_ENDS:
             for k in range(len(stack) - 1, 0, -1):
                 tag = nodes[stack[k]].tag
@@ -321,6 +334,10 @@ def text_of(nodes: list[Node], keep: np.ndarray) -> str:
     return "\n".join(blocks)
 
 
+#: How a head may end: with its tag, by what follows, or by a stray block before its tag.
+HEAD_ENDS = ("</head>", "", "<div></div></head>")
+
+
 class Generator:
     """Pages of many layouts, each element marked with whether it belongs to the main text."""
 
@@ -412,7 +429,8 @@ class Generator:
         tag = r.choice(["article", "article", "article", "main", "div", "section"])
         return f"<{tag} {y}{self.attrs(0, semantic or tag == 'div')}>{body}</{tag}>"
 
-    def page(self) -> str:
+    def page(self, head_end: str = "</head>") -> str:
+        """``head_end``: one of HEAD_ENDS. The trees learn from the first only: the others must not change what they see."""
         r = self.r
         semantic = r.random() < 0.75
         top = [self.boiler(k, semantic) for k in ("notice", "header", "nav", "ad", "form") if r.random() < 0.4] or [self.boiler("nav", semantic)]
@@ -428,7 +446,7 @@ class Generator:
         whole = "".join(top) + body + "".join(end)
         if r.random() < 0.3:
             whole = f'<div data-y="1" class="wrapper">{whole}</div>'
-        return f"<!DOCTYPE html><html><head><title>x</title></head><body data-y=\"1\">{whole}</body></html>"
+        return f"<!DOCTYPE html><html><head><title>x</title>{head_end}<body data-y=\"1\">{whole}</body></html>"
 
 
 @lru_cache(maxsize=1)

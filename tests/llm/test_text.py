@@ -307,6 +307,21 @@ def test_pages():
     assert right / asked > 0.93 and right / said > 0.9
 
 
+@pytest.mark.parametrize("head", ["<head><title>t</title>", "<head><title>t</title><div></div></head>", "<head><title>t</title><p></head>", "<head><meta charset=x><head>", "<head><noframes>x</noframes></head><head>"])
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_head_ends_where_browsers_end_it(head, body):
+    page = f"<html>{head}{body}<nav><a href=/>Home</a></nav><article><h1>A title here</h1><p>First and long paragraph of the text, with words.</p></article></html>"
+    assert pages.extract(pages.trained(), [page]) == ["A title here\nFirst and long paragraph of the text, with words."]
+    bare = pages.parse(f"<html>{head}Bare words")
+    assert not bare[next(i for i, n in enumerate(bare) if "Bare words" in n.items)].hidden
+
+
+def test_generated_pages_with_all_ends_of_head():
+    for seed in range(20):
+        texts = [[t for n in pages.parse(pages.Generator(seed).page(e)) for t in n.items if isinstance(t, str) and not n.hidden] for e in pages.HEAD_ENDS]
+        assert texts[0] and texts[0] == texts[1] == texts[2]
+
+
 def test_decoding_is_hierarchical():
     r = np.random.default_rng(3)
     nodes = pages.parse(pages.Generator(5).page())
