@@ -183,10 +183,12 @@ def held_out_column() -> Column:
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` or so labelled texts of each language, spread by a hash over the whole table."""
+    """At most ``per_language`` or so distinct labelled texts of each language, spread by a hash over the whole table."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     hashed = labelled.select("text", "lang", (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # distinct texts are counted, as a text is drawn once for all its copies
+    texts = labelled.groupBy("lang", F.xxhash64("text", F.lit(1)).alias("x")).agg(F.lit(1).alias("one"))
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)

@@ -76,6 +76,13 @@ def test_language(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def test_training_sample_counts_copies_once(spark):
+    r = random.Random(3)
+    rows = [(words(r, 12), "de") for _ in range(400)] + [("hot copied text", "de")] * 4000 + [(words(r, 12), "en") for _ in range(400)] + [("few", "es")] * 500
+    got = Counter(lang for _, lang in language.training_sample(spark.createDataFrame(rows, "text string, lang string").repartition(3), per_language=100))
+    assert 60 < got["de"] < 140 and 60 < got["en"] < 140 and got["es"] == 1
+
+
 def test_convolution_equals_plain_loops():
     net = language.train([("the thing and", "en"), ("schung ein", "de")], steps=3)
     text = "abc thé"
