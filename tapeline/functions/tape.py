@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tapeline.functions.scratch import few, materialize
 from tapeline.schemas import close_series
 from tapeline.settings import ChainSettings
 
@@ -38,13 +39,31 @@ def bars_with_neighbours(bars: DataFrame, k: int = 3) -> DataFrame:
     return close_series(bars).select("symbol", "date", F.collect_list("close").over(back).alias("back"), F.collect_list("close").over(ahead).alias("ahead"))
 
 
+def local_tape(claims: DataFrame, bars: DataFrame, reach: int = 96, core: int = 32, least: int = 3) -> DataFrame:
+    """The bars that stages of the chain can look at: those within ``reach`` days of a claim of their symbol.
+
+    Where fewer than ``least`` of them lie beyond ``core`` days on a side of a claim, neighbours may be further away, so
+    that symbol's whole tape is taken. The tape is filtered by a join with the claims' (symbol, block of days), and by
+    another with the sparse symbols; it is not sorted. The claims' blocks are only broadcast if they are few.
+    """
+    block = lambda c: F.floor(F.unix_date(c) / 32)
+    dated = claims.select("rid", "symbol", F.col("date").cast("date").alias("day")).filter("day is not null")
+    blocks = dated.select("symbol", F.explode(F.sequence(block(F.date_sub("day", reach)), block(F.date_add("day", reach)))).alias("block")).distinct()
+    send = F.broadcast if few(blocks) else lambda df: df
+    tape = close_series(bars)
+    near = materialize(tape.withColumn("block", block("date")).join(send(blocks), ["symbol", "block"], "left_semi").select("symbol", "date", "close"))
+    off = F.datediff("date", "day")
+    seen = dated.join(near, "symbol", "left").groupBy("rid", "symbol").agg(F.count_if(off.between(-reach, -core - 1)).alias("before"), F.count_if(off.between(core + 1, reach)).alias("after"))
+    sparse = materialize(seen.filter((F.col("before") < least) | (F.col("after") < least)).select("symbol").distinct())
+    return near.join(sparse, "symbol", "left_anti").unionByName(tape.join(send(sparse), "symbol", "left_semi"))
+
+
 def with_gap(ranges: DataFrame, bars: DataFrame, max_gap_days: int = 10, name: str = "gap") -> DataFrame:
     """``ranges`` (symbol, first, last and more; unique ``rid``) with the measured close ratio across [first, last].
 
     Medians of up to three closes strictly after ``last`` and strictly before ``first``; null if a side is empty, more
-    than ``max_gap_days`` away or not positive. ``bars`` come from ``bars_with_neighbours``. Only bars within those days
-    can count, so ranges meet the tape by symbol and block of days: the tape is neither sorted nor, beside few ranges,
-    shuffled.
+    than ``max_gap_days`` away or not positive. ``bars`` come from ``bars_with_neighbours``, best of a ``local_tape``. Only
+    bars within those days can count, so ranges meet them by symbol and block of days.
     """
     sides = F.array(
         F.struct(F.lit(True).alias("before"), F.date_sub("first", max_gap_days).alias("lo"), F.date_sub("first", 1).alias("hi")),
@@ -67,10 +86,12 @@ def with_own_gap(claims: DataFrame, bars: DataFrame, max_gap_days: int = 10) ->
 def unique_boundaries(claims: DataFrame, bars: DataFrame, s: ChainSettings = ChainSettings()) -> DataFrame:
     """(rid, tape_date, measured_1d) for claims with exactly one matching and lasting one-day move near their date."""
     close, one = F.col("close"), F.lag("close").over(by_date())
-    moves = close_series(bars).withColumns({"prev": one, "next": F.lead("close").over(by_date()), "n": F.count("*").over(Window.partitionBy("symbol"))})
+    moves = close_series(bars).withColumns({"prev": one, "next": F.lead("close").over(by_date()), "before": F.lag("date", 2).over(by_date()), "after": F.lead("date", 2).over(by_date())})
     ratio = F.when((F.col("prev") > 0) & (close > 0), close / F.col("prev"))
     ratio_next = F.when((close > 0) & (F.col("next") > 0), F.col("next") / close)
-    moves = moves.filter("n >= 3").select("symbol", F.col("date").alias("tape_date"), ratio.alias("r"), ratio_next.alias("r_next"), F.floor(F.unix_date("date") / 32).alias("bucket")).filter("r is not null")
+    # a symbol has three bars if one of them has two on a side or one on both
+    three = F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("prev").isNotNull() & F.col("next").isNotNull())
+    moves = moves.filter(three).select("symbol", F.col("date").alias("tape_date"), ratio.alias("r"), ratio_next.alias("r_next"), F.floor(F.unix_date("date") / 32).alias("bucket")).filter("r is not null")
     lo, hi = F.date_sub("date", s.snap_back_days), F.date_add("date", s.snap_fwd_days)
     asked = claims.select("rid", "symbol", lo.alias("lo"), hi.alias("hi"), implied_ln().alias("implied")).filter("implied is not null")
     asked = asked.withColumn("bucket", F.explode(F.sequence(F.floor(F.unix_date("lo") / 32), F.floor(F.unix_date("hi") / 32))))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tapeline.functions.asof import asof
 from tapeline.functions.tape import by_date, implied_ln, upper_median
@@ -20,12 +19,14 @@ def jump_candidates(bars: DataFrame, claims: DataFrame | None = None, s: BreakSe
     One pass over the tape; the trailing window is only gathered where a move is large.
     """
     close, prev = F.col("close"), F.lag("close").over(by_date())
-    b = close_series(bars).withColumns({"n": F.count("*").over(Window.partitionBy("symbol")), "i": F.row_number().over(by_date()), "prev_date": F.lag("date").over(by_date()), "ret": F.when((close > 0) & (prev > 0), F.log(close / prev))})
-    b = b.withColumns({"ret_next": F.lead("ret").over(by_date()), "next_date": F.lead("date").over(by_date())}).filter(F.col("n") >= 2 * s.persist_bars + 2)
+    tape = close_series(bars)
+    b = tape.withColumns({"i": F.row_number().over(by_date()), "prev_date": F.lag("date").over(by_date()), "ret": F.when((close > 0) & (prev > 0), F.log(close / prev))})
+    b = b.withColumns({"ret_next": F.lead("ret").over(by_date()), "next_date": F.lead("date").over(by_date())})
+    enough = tape.groupBy("symbol").agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * s.persist_bars + 2).select("symbol")
     # large moves are few: each fetches its own surroundings by blocks of bars, instead of a trailing list for every bar
     reach = max(s.vol_lookback, s.persist_bars)
     block = lambda c: F.floor(F.col(c) / reach)
-    large = b.filter(F.abs("ret") >= s.min_jump_ln)
+    large = b.filter(F.abs("ret") >= s.min_jump_ln).join(enough, "symbol", "left_semi")
     asked = large.select("symbol", F.col("i").alias("at"), F.explode(F.sequence(F.floor((F.col("i") - reach) / reach), F.floor((F.col("i") + s.persist_bars) / reach))).alias("block"))
     told = b.select("symbol", block("i").alias("block"), (F.col("i")).alias("j"), F.col("ret").alias("r"), F.col("close").alias("c"))
     off = F.col("j") - F.col("at")

@@ -23,9 +23,10 @@ def _all() -> WindowSpec:
 def stale_runs(bars: DataFrame, witness: DataFrame | None = None, s: FeedSettings = FeedSettings()) -> DataFrame:
     """symbol, start, end, n_bars, close, witness_move, classification of runs of equal closes beyond the symbol's norm."""
     changed = F.coalesce((F.col("close") != F.lag("close").over(by_date())).cast("int"), F.lit(0))
-    b = close_series(bars).withColumns({"changed": changed, "before": F.lag("date").over(by_date()), "n": F.count("*").over(_all())})
-    b = b.filter(F.col("n") >= s.min_stale_run).withColumn("run", F.sum("changed").over(by_date()))
-    runs = b.groupBy("symbol", "run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("n_bars"), F.first("close").alias("close"), F.min_by("before", "date").alias("before")).filter("n_bars > 1")
+    b = close_series(bars).withColumns({"changed": changed, "before": F.lag("date").over(by_date())}).withColumn("run", F.sum("changed").over(by_date()))
+    runs = b.groupBy("symbol", "run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("n_bars"), F.first("close").alias("close"), F.min_by("before", "date").alias("before"))
+    enough = bars.groupBy("symbol").agg(F.count("*").alias("n")).filter(F.col("n") >= s.min_stale_run).select("symbol")
+    runs = runs.filter("n_bars > 1").join(enough, "symbol", "left_semi")
     # the quantile as a place in the sorted lengths, which a ranking gives without gathering them
     rank, count = F.row_number().over(_all().orderBy("n_bars", "start")), F.count("*").over(_all())
     runs = runs.withColumns({"rank": rank, "runs": count})
@@ -52,9 +53,10 @@ def stale_runs(bars: DataFrame, witness: DataFrame | None = None, s: FeedSetting
 def date_shifts(bars: DataFrame, witness: DataFrame, s: FeedSettings = FeedSettings()) -> DataFrame:
     """Spans that fit the witness better one session off: shift +1 is stamped late, -1 early."""
     n = s.shift_window
-    counted = lambda df, name: close_series(df).withColumn("_n", F.count("*").over(_all())).filter(F.col("_n") >= n + 2).select("symbol", "date", F.col("close").alias(name))
-    j = counted(bars, "p").join(counted(witness, "w"), ["symbol", "date"]).filter("p > 0 and w > 0")
-    j = j.withColumns({"_n": F.count("*").over(_all()), "rp": F.log(F.col("p") / F.lag("p").over(by_date())), "rw": F.log(F.col("w") / F.lag("w").over(by_date()))}).filter(F.col("_n") >= n + 2)
+    side = lambda df, name: close_series(df).withColumnRenamed("close", name)
+    j = side(bars, "p").join(side(witness, "w"), ["symbol", "date"]).filter("p > 0 and w > 0")
+    # fewer common days than a window and its neighbours need give no error anyway: the first window ends at row n
+    j = j.withColumns({"rp": F.log(F.col("p") / F.lag("p").over(by_date())), "rw": F.log(F.col("w") / F.lag("w").over(by_date()))})
     j = j.withColumns({"rw_prev": F.lag("rw").over(by_date()), "rw_next": F.lead("rw").over(by_date())}).dropna(subset=["rp", "rw", "rw_prev", "rw_next"])
     frame = by_date().rowsBetween(-(n - 1), 0)
     error = lambda c: F.avg(F.abs(F.col("rp") - F.col(c))).over(frame)

@@ -45,8 +45,9 @@ def rekey_by_security(df: DataFrame, history: DataFrame, date_col: str = "date",
 
     Rows without an owner are kept under their ticker, dropped, or raise an error, as ``unmatched`` says.
     """
-    if unmatched not in ("keep", "drop", "raise"):
-        raise ValueError("unmatched must be 'keep', 'drop' or 'raise'")
+    choices = {"keep", "drop", "raise"}
+    if unmatched not in choices:
+        raise ValueError(f"unmatched: {unmatched!r} is none of {sorted(choices)}")
     h = history.select(F.col("symbol").alias("_h_symbol"), F.col("security_id").alias("_h_id"), F.col("valid_from").alias("_h_from"), _ends().alias("_h_to"))
     owns = (F.col(symbol_col) == F.col("_h_symbol")) & (F.col(date_col).cast("date") >= F.col("_h_from")) & (F.col(date_col).cast("date") <= F.col("_h_to"))
     out = df.join(h, owns, "inner" if unmatched == "drop" else "left")

@@ -89,6 +89,7 @@ def build_universe(spark: SparkSession, s: GauntletSettings = GauntletSettings()
     again = (F.col("class") == "serial_reverse_split") & (F.col("i") >= F.col("e2"))
     # after a halt the price resumes well away from where it stood
     resumed = F.when((F.col("class") == "halted_reverse_split") & after, 0.2 + 0.1 * F.col("x")).otherwise(1.0)
+    # fixed values: how far a bad close stands off
     spike = F.when((F.col("class") == "bad_close_vspike") & (F.col("i") == F.col("e")), F.element_at(F.array(*map(F.lit, (6.0, 8.0, 0.15, 0.12))), (F.floor(F.col("x") * 4) + 1).cast("int"))).otherwise(1.0)
     close = F.col("level") * F.when(after, F.col("m")).otherwise(1.0) * F.when(again, F.col("m")).otherwise(1.0) * resumed * spike
     hole = (F.col("class") == "halted_reverse_split") & F.col("i").between(F.col("e") - 40, F.col("e") - 1)

@@ -114,7 +114,7 @@ def _q(views: tuple[str, ...], ctes: list[str], select: str) -> str:
 
 _OUT = "SELECT symbol, date, ratio_from, ratio_to, source, type, CAST(rid AS BIGINT) AS rid FROM"
 _TAPE = ("fx_claims", "fx_bars")
-EVENTS = "ev AS (SELECT symbol, date, product(ratio_from / ratio_to) AS m FROM fx_claims WHERE rid % 10 IN (1, 4, 5) GROUP BY symbol, date)"
+EVENTS = "ev AS (SELECT symbol, date, product(ratio_from / ratio_to) AS m FROM fx_claims GROUP BY symbol, date)"
 TOKYO = "CAST(timezone('{z}', timezone('UTC', ts)) AS DATE)"
 
 #: Each close with what the jump scan looks at, by index within its symbol.
@@ -159,6 +159,76 @@ j1 AS (SELECT symbol, date, last_value(a IGNORE NULLS) OVER w AS a, last_value(b
 j2 AS (SELECT *, ln(a) - ln(b) AS d, abs(ln(a) - lag(ln(a)) OVER w) > """ + LN101 + """ AS ea, abs(ln(b) - lag(ln(b)) OVER w) > """ + LN101 + """ AS eb FROM j1 WHERE a > 0 AND b > 0 WINDOW w AS (PARTITION BY symbol ORDER BY date))"""
 
 
+EXPLAINED = f"""c0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM cand j
+  WHERE NOT EXISTS (SELECT 1 FROM fx_claims c WHERE c.symbol = j.symbol AND j.one_day_end IS NULL AND abs(date_diff('day', c.date, j.date)) <= 15 AND abs(j.shift - ln(c.ratio_from / c.ratio_to)) <= {LN135})),
+-- one candidate after the other: each takes the first later one that is free and undoes it
+walk AS (
+  SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, false AS shown, CAST(NULL AS BIGINT) AS mate FROM c0
+  UNION ALL
+  SELECT symbol, i, CASE WHEN mate IS NULL THEN used ELSE list_append(used, mate) END, shown, mate FROM (
+    SELECT x.symbol, x.i, w.used, NOT list_contains(w.used, x.i) AS shown,
+      CASE WHEN x.one_day_end IS NULL AND NOT list_contains(w.used, x.i) THEN (SELECT min(y.i) FROM c0 y WHERE y.symbol = x.symbol AND y.i > x.i AND NOT list_contains(w.used, y.i) AND date_diff('day', x.date, y.date) <= 120 AND abs(x.shift + y.shift) <= {LN135}) END AS mate
+    FROM walk w JOIN c0 x ON x.symbol = w.symbol AND x.i = w.i + 1) t)"""
+
+STEPS = f"""lv AS MATERIALIZED (SELECT symbol, date, d, ln(a) - lag(ln(a)) OVER w AS sa, ln(b) - lag(ln(b)) OVER w AS sb FROM j2 WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+eo AS MATERIALIZED (SELECT symbol, date, sa AS step, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM lv WHERE abs(sa) > {LN101}),
+er AS MATERIALIZED (SELECT symbol, date, sb AS step, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM lv WHERE abs(sb) > {LN101}),
+-- one of our events after the other takes the nearest free one of its size, else a free one of its day
+mt AS (
+  SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS VARCHAR[]) AS said FROM lv
+  UNION ALL
+  SELECT t.symbol, t.k, CASE WHEN coalesce(near % 1000000, same) IS NULL THEN used ELSE list_append(used, coalesce(near % 1000000, same)) END,
+    CASE WHEN near IS NOT NULL AND near < 1000000 THEN said
+      WHEN near IS NOT NULL THEN list_append(said, concat('DATE_DIFFERS ours ', t.date, ' ref ', (SELECT date FROM er r WHERE r.symbol = t.symbol AND r.k = near % 1000000), ' x', printf('%.4f', exp(t.step))))
+      WHEN same IS NOT NULL THEN list_append(said, concat('RATIO_DIFFERS ', t.date, ' ours x', printf('%.4f', exp(t.step)), ' ref x', printf('%.4f', exp((SELECT step FROM er r WHERE r.symbol = t.symbol AND r.k = same)))))
+      ELSE list_append(said, concat('ONLY_OURS ', t.date, ' x', printf('%.4f', exp(t.step)))) END
+  FROM (SELECT x.symbol, x.k, x.date, x.step, m.used, m.said,
+      (SELECT min(abs(date_diff('day', r.date, x.date)) * 1000000 + r.k) FROM er r WHERE r.symbol = x.symbol AND NOT list_contains(m.used, r.k) AND abs(r.step - x.step) <= {LN102} AND abs(date_diff('day', r.date, x.date)) <= 10) AS near,
+      (SELECT min(r.k) FROM er r WHERE r.symbol = x.symbol AND NOT list_contains(m.used, r.k) AND r.date = x.date) AS same
+    FROM mt m JOIN eo x ON x.symbol = m.symbol AND x.k = m.k + 1) t),
+ended AS MATERIALIZED (SELECT symbol, arg_max(used, k) AS used, arg_max(said, k) AS said FROM mt GROUP BY symbol),
+rest AS (SELECT r.symbol, list(concat('ONLY_REFERENCE ', r.date, ' x', printf('%.4f', exp(r.step))) ORDER BY r.k) AS said FROM er r JOIN ended e ON e.symbol = r.symbol WHERE NOT list_contains(e.used, r.k) GROUP BY r.symbol),
+st AS (SELECT symbol, count(*) AS n, median(abs(d)) AS med, max(abs(d)) AS mx, avg(d) AS mean, stddev_pop(d) AS sd, count(*) FILTER (abs(sa) > {LN101}) AS na, count(*) FILTER (abs(sb) > {LN101}) AS nb FROM lv GROUP BY symbol),
+names AS (SELECT symbol, max(o) AS o, max(r) AS r FROM (SELECT symbol, 1 AS o, 0 AS r FROM fx_ours UNION ALL SELECT symbol, 0, 1 FROM fx_reference) GROUP BY symbol),
+z0 AS (SELECT n.symbol, o + r < 2 AS one_side, coalesce(st.n, 0) AS n, med, mx, mean, sd, na, nb, list_concat(coalesce(e.said, []), coalesce(rest.said, [])) AS said, CASE WHEN n.symbol = 'S9' THEN 'reference does not track spin-offs' END AS why
+  FROM names n LEFT JOIN st USING (symbol) LEFT JOIN ended e USING (symbol) LEFT JOIN rest USING (symbol)),
+z AS MATERIALIZED (SELECT *, array_to_string(said, '; ') AS texts, CASE WHEN one_side OR n < 5 THEN 'NOT_COMPARABLE' WHEN len(said) = 0 AND mx <= {LN1001} THEN 'EXACT' WHEN len(said) = 0 AND mx <= {LN102} THEN 'MINOR'
+  WHEN len(said) = 0 AND sd <= {LN1001} THEN 'EXACT_ADJUSTED_EQUIV' WHEN why IS NOT NULL THEN 'EXPLAINED' WHEN len(said) > 0 AND len(list_filter(said, lambda x: NOT starts_with(x, 'DATE_DIFFERS'))) = 0 THEN 'DATE_DIFFERS' ELSE 'MISMATCH' END AS c FROM z0)"""
+
+REPORT = """SELECT symbol, c AS classification, CASE WHEN one_side THEN 'one or both sides have no data' WHEN n < 5 THEN printf('%d common date(s), at least 5 needed', n) WHEN c = 'EXACT' THEN 'all events and all dates agree exactly'
+  WHEN c = 'MINOR' THEN 'all events agree, levels within the minor tolerance' WHEN c = 'EXACT_ADJUSTED_EQUIV' THEN 'all events agree, levels differ by a constant' WHEN c = 'EXPLAINED' THEN why WHEN len(said) > 0 THEN texts
+  ELSE printf('no event differs, but levels do by up to %.4f and not in parallel', mx) END AS detail, CAST(n AS BIGINT) AS n_dates_compared,
+  CASE WHEN c <> 'NOT_COMPARABLE' THEN round(med, 9) END AS median_abs_ln_diff, CASE WHEN c <> 'NOT_COMPARABLE' THEN round(mx, 9) END AS max_abs_ln_diff, CASE WHEN c <> 'NOT_COMPARABLE' THEN round(mean, 9) END AS mean_ln_diff,
+  CASE WHEN c <> 'NOT_COMPARABLE' THEN round(sd, 6) END AS std_ln_diff, CAST(CASE WHEN c <> 'NOT_COMPARABLE' THEN na ELSE 0 END AS BIGINT) AS n_events_ours, CAST(CASE WHEN c <> 'NOT_COMPARABLE' THEN nb ELSE 0 END AS BIGINT) AS n_events_reference,
+  CASE WHEN c = 'NOT_COMPARABLE' THEN '' ELSE texts END AS event_issues FROM z"""
+
+GATE = """SELECT count(*) AS n_total, count(*) FILTER (c <> 'NOT_COMPARABLE') AS n_comparable, count(*) FILTER (c = 'NOT_COMPARABLE') AS n_not_comparable, count(*) FILTER (c IN ('EXACT', 'MINOR', 'EXACT_ADJUSTED_EQUIV', 'EXPLAINED')) AS n_passing,
+  count(*) FILTER (c = 'MISMATCH') AS n_mismatch, CAST(count(*) FILTER (c IN ('EXACT', 'MINOR', 'EXACT_ADJUSTED_EQUIV', 'EXPLAINED')) AS DOUBLE) / count(*) FILTER (c <> 'NOT_COMPARABLE') AS pass_rate,
+  CAST(0.99 AS DOUBLE) AS min_pass_rate, CAST(count(*) FILTER (c IN ('EXACT', 'MINOR', 'EXACT_ADJUSTED_EQUIV', 'EXPLAINED')) AS DOUBLE) / count(*) FILTER (c <> 'NOT_COMPARABLE') >= 0.99 AS gate_passed FROM z"""
+
+
+def audit_of_chain() -> str:
+    """What each of the chain's stages s0 to s6 told, from the difference of its input and its output."""
+    row = lambda stage, decision, detail, src, where: f"SELECT '{stage}' AS stage, CAST(a.rid AS BIGINT) AS rid, a.symbol, a.date, a.ratio_from, a.ratio_to, '{decision}' AS decision, {detail} AS detail FROM {src} WHERE {where}"
+    none = "CAST(NULL AS VARCHAR)"
+    collapsed = [row(name, "collapsed", none, f"s{i - 1} a", f"a.rid NOT IN (SELECT rid FROM s{i})") for i, name in ((2, "duplicate"), (3, "same_date"), (4, "near_date"))]
+    large = f"abs(ln(a.ratio_from / a.ratio_to)) >= {LN2}"
+    return "\nUNION ALL ".join([
+        row("post_coverage", "dropped", "CAST(l.last_bar AS VARCHAR)", "fx_claims a JOIN (SELECT symbol, max(date) AS last_bar FROM fx_bars GROUP BY symbol) l USING (symbol)", "a.date > l.last_bar"),
+        row("composite", "composed", none, "s0 a", "a.rid IN (SELECT unnest(rids) FROM s1_c)"),
+        row("composite", "left_as_conflict", none, "s0 a", "a.rid IN (SELECT unnest(rids) FROM s1_all) AND a.rid NOT IN (SELECT unnest(rids) FROM s1_c)"),
+        *collapsed,
+        row("snap", "moved", "CAST(b.date AS VARCHAR)", "s4 a JOIN s5 b USING (rid)", "a.date <> b.date"),
+        row("phantom", "refuted", "CAST(round(g.gap, 4) AS VARCHAR)", "s5 a JOIN s6_gap g USING (rid)", "a.rid NOT IN (SELECT rid FROM s6)"),
+        row("phantom", "unmeasurable_kept", none, "s5 a JOIN s6_gap g USING (rid)", f"g.gap IS NULL AND {large}"),
+    ])
+
+
+#: Groups of different ratios of one source and day, whatever their directions.
+ALL_LEGS = """s1_all AS (SELECT list(rid) AS rids FROM s0 WHERE source IS NOT NULL AND ratio_from <> ratio_to GROUP BY symbol, date, source
+  HAVING count(*) > 1 AND count(DISTINCT (round(ratio_from, 12), round(ratio_to, 12))) > 1)"""
+
+
 def chain(*stages) -> tuple[list[str], str]:
     ctes, at = [], "fx_claims"
     for i, st in enumerate(stages):
@@ -180,6 +250,16 @@ def oracle_sql() -> dict[str, str]:
     }.items():
         ctes, last = chain(*stages)
         sql[name] = _q(_TAPE, ctes, f"{_OUT} {last}")
+    ctes, _ = chain(post_coverage, composite, duplicates, same_date, near_date, snap, phantoms)
+    audit = audit_of_chain()
+    sql["collapse_audit"] = _q(_TAPE, [*ctes, ALL_LEGS], audit)
+    sql["collapse_totals"] = _q(_TAPE, [*ctes, ALL_LEGS, f"au AS ({audit})"], "SELECT stage, decision, count(*) AS n FROM au GROUP BY stage, decision")
+    ctes, last = chain(composite, duplicates, same_date, near_date)
+    untold = [c.replace("FROM fx_bars x", "FROM no_bars x") for c in ctes]
+    sql["collapse_without_tape"] = _q(_TAPE, ["no_bars AS (SELECT * FROM fx_bars WHERE false)", *untold], f"{_OUT} {last}")
+    sql["scan_jumps"] = _q(("fx_bars", "fx_claims"), [JUMPS, EXPLAINED], "SELECT x.symbol, x.date, x.prev_date, round(exp(x.shift), 6) AS measured_ratio, CASE WHEN isinf(x.z) THEN NULL ELSE round(x.z, 4) END AS z_score, coalesce(x.one_day_end, y.date) AS reverted_on FROM walk w JOIN c0 x ON x.symbol = w.symbol AND x.i = w.i LEFT JOIN c0 y ON y.symbol = w.symbol AND y.i = w.mate WHERE w.shown")
+    sql["reconcile"] = _q(("fx_ours", "fx_reference"), [ALIGNED, STEPS], REPORT)
+    sql["reconcile_gate"] = _q(("fx_ours", "fx_reference"), [ALIGNED, STEPS], GATE)
     sql["drop_mislabels"] = _q(_TAPE, [], f"{_OUT} fx_claims WHERE rid % 10 <> 5")
     sql["unique_boundary"] = _q(_TAPE, [boundaries("fx_claims", "b")], "SELECT CAST(rid AS BIGINT) AS rid, tape_date, round(r, 6) AS measured_1d FROM b")
     sql["bad_print_guard_no_truth"] = _q(("fx_bars",), [_guard("fx_bars", None, 300)], "SELECT * FROM g")
@@ -200,9 +280,9 @@ wit AS MATERIALIZED (SELECT s.*, (SELECT arg_max(c.close, c.date) FROM fx_calm c
  (SELECT max(c.close) / min(c.close) FROM fx_calm c WHERE c.symbol = s.symbol AND c.date BETWEEN s.start AND s."end") AS span FROM stale s)"""
     sql["stale_runs"] = _q(("fx_frozen", "fx_calm"), [runs], "SELECT symbol, start, \"end\", CAST(n_bars AS BIGINT) AS n_bars, round(close, 6) AS close, round(ln(we / wb), 9) AS witness_move, CASE WHEN wb IS NULL OR we IS NULL THEN 'UNVERIFIED' WHEN abs(ln(we / wb)) > " + LN102 + " OR span > 1.02 THEN 'STALE_FEED' ELSE 'ILLIQUID' END AS classification FROM wit")
     shifts = """p0 AS (SELECT symbol, date, s.close AS p, c.close AS w FROM fx_shifted s JOIN fx_calm c USING (symbol, date)),
-p1 AS (SELECT symbol, date, count(*) OVER (PARTITION BY symbol) AS cnt, ln(p / lag(p) OVER o) AS rp, ln(w / lag(w) OVER o) AS rw FROM p0 WINDOW o AS (PARTITION BY symbol ORDER BY date)),
-p2 AS (SELECT *, lag(rw) OVER o AS r1, lead(rw) OVER o AS r2 FROM p1 WHERE cnt >= 22 WINDOW o AS (PARTITION BY symbol ORDER BY date)),
-p3 AS (SELECT symbol, date, row_number() OVER o AS i, avg(abs(rp - rw)) OVER f AS e0, avg(abs(rp - r1)) OVER f AS ep, avg(abs(rp - r2)) OVER f AS em FROM p2 WHERE rp IS NOT NULL AND rw IS NOT NULL AND r1 IS NOT NULL AND r2 IS NOT NULL
+p1 AS MATERIALIZED (SELECT symbol, date, count(*) OVER (PARTITION BY symbol) AS cnt, ln(p / lag(p) OVER o) AS rp, ln(w / lag(w) OVER o) AS rw FROM p0 WINDOW o AS (PARTITION BY symbol ORDER BY date)),
+p2 AS MATERIALIZED (SELECT *, lag(rw) OVER o AS r1, lead(rw) OVER o AS r2 FROM p1 WHERE cnt >= 22 WINDOW o AS (PARTITION BY symbol ORDER BY date)),
+p3 AS MATERIALIZED (SELECT symbol, date, row_number() OVER o AS i, avg(abs(rp - rw)) OVER f AS e0, avg(abs(rp - r1)) OVER f AS ep, avg(abs(rp - r2)) OVER f AS em FROM p2 WHERE rp IS NOT NULL AND rw IS NOT NULL AND r1 IS NOT NULL AND r2 IS NOT NULL
   WINDOW o AS (PARTITION BY symbol ORDER BY date), f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 p4 AS MATERIALIZED (SELECT symbol, date, i - 20 AS k, e0, least(ep, em) AS best, CASE WHEN e0 > 0.004 AND least(ep, em) < 0.5 * e0 THEN CASE WHEN ep <= em THEN 1 ELSE -1 END ELSE 0 END AS sh FROM p3 WHERE i >= 20),
 p5 AS (SELECT *, CASE WHEN sh <> lag(sh) OVER o THEN 1 ELSE 0 END AS turn FROM p4 WINDOW o AS (PARTITION BY symbol ORDER BY date)),

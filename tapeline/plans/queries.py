@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.functions.tape import bars_with_neighbours, unique_boundaries, with_own_gap
+from tapeline.functions.tape import bars_with_neighbours, local_tape, unique_boundaries, with_own_gap
 from tapeline.operators import breaks, claims, factors, feed, guard, identity, reconcile
 from tapeline.plans.fixtures import fixture
 from tapeline.schemas import last_bar_dates, normalise_claims
@@ -30,16 +30,12 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     return normalise_claims(fixture(spark, d, "fx_claims").withColumn("rid", F.col("rid").cast("bigint")))
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    return _claims(spark, d).filter((F.col("rid") % 10).isin(1, 4, 5))
-
-
 def _near(spark: SparkSession, d: str) -> DataFrame:
-    return bars_with_neighbours(_bars(spark, d))
+    return bars_with_neighbours(local_tape(_claims(spark, d), _bars(spark, d)))
 
 
 def apply_adjustment_daily(spark: SparkSession, d: str) -> DataFrame:
-    out = factors.apply_adjustment(_bars(spark, d), _events(spark, d))
+    out = factors.apply_adjustment(_bars(spark, d), _claims(spark, d))
     return _rounded(out.select("symbol", "date", "price_factor", "adj_close", "adj_volume"), price_factor=9, adj_close=6, adj_volume=4)
 
 
@@ -50,7 +46,7 @@ def apply_adjustment_ticks_tz(spark: SparkSession, d: str) -> DataFrame:
 
 
 def factor_table(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(factors.build_factor_table(_events(spark, d), "1990-01-01"), price_factor=9, volume_factor=9)
+    return _rounded(factors.build_factor_table(_claims(spark, d), "1990-01-01"), price_factor=9, volume_factor=9)
 
 
 def gap_measure(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +88,11 @@ def jump_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_jumps(spark: SparkSession, d: str) -> DataFrame:
-    return breaks.scan_jumps(_bars(spark, d), _events(spark, d))
+    return _told(breaks.scan_jumps(_bars(spark, d), _claims(spark, d)))
+
+
+def _told(jumps: DataFrame) -> DataFrame:
+    return jumps.select("symbol", "date", "prev_date", F.round("measured_ratio", 6).alias("measured_ratio"), F.when(F.col("z_score") != float("inf"), F.round("z_score", 4)).alias("z_score"), "reverted_on")
 
 
 def _jumps(spark: SparkSession, d: str) -> DataFrame:
@@ -132,6 +132,10 @@ def reconcile_levels(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(out, median_abs_ln_diff=9, max_abs_ln_diff=9, mean_ln_diff=9, std_ln_diff=6)
 
 
+def reconcile_report(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(reconcile_all(spark, d), median_abs_ln_diff=9, max_abs_ln_diff=9, mean_ln_diff=9, std_ln_diff=6)
+
+
 def reconcile_gate(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.gate(reconcile_all(spark, d))
 
@@ -167,6 +171,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "refute_phantoms": _stage(lambda s, d: claims.refute_phantoms(_claims(s, d), _near(s, d), None, CHAIN)),
         "collapse_all": _stage(lambda s, d: claims.collapse_all(_claims(s, d), _bars(s, d), s=CHAIN)),
         "collapse_audit": lambda s, d: claims.collapse_all(_claims(s, d), _bars(s, d), s=CHAIN).audit,
+        "collapse_totals": lambda s, d: claims.stage_totals(claims.collapse_all(_claims(s, d), _bars(s, d), s=CHAIN).audit),
+        "collapse_without_tape": _stage(lambda s, d: claims.collapse_all(_claims(s, d), s=CHAIN)),
         "bad_print_guard": bad_print_guard,
         "bad_print_guard_no_truth": bad_print_guard_no_truth,
         "truth_from_ticks": truth_from_ticks,
@@ -177,7 +183,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "claims_vs_witness": claims_vs_witness,
         "stale_runs": stale_runs,
         "date_shifts": date_shifts,
-        "reconcile": reconcile_all,
+        "reconcile": reconcile_report,
         "reconcile_levels": reconcile_levels,
         "reconcile_gate": reconcile_gate,
         "rekey": rekey,

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tapeline.schemas import BARS, CLAIMS, TRUTH, normalise_claims
 
@@ -39,17 +39,40 @@ def truth_from_memory(spark: SparkSession, rows: Mapping[tuple, Mapping]) -> Dat
     return spark.createDataFrame([(s, d, x.get("high"), x.get("low"), int(x.get("n_bars") or 0)) for (s, d), x in rows.items()], _schema(TRUTH))
 
 
+def _headers(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
+    """Header line -> its files. One pass over the lines; a row per file comes to the driver, which lists the files anyway."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(pattern).select("value", meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"))
+    firsts = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in firsts.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), "header").collect():
+        out.setdefault(r["header"], []).append(r["path"])
+    return out
+
+
 def bars_from_csv(spark: SparkSession, directory: str) -> DataFrame:
-    """One file per symbol, ``<symbol>.csv`` with a header; columns are matched by name."""
+    """One file per symbol, ``<symbol>.csv`` with a header. Columns are matched by name, whatever their order in each file.
+
+    Files of one header are read together; a header that names a column twice is an error, one without it gives nulls.
+    """
+    bars = spark.createDataFrame([], _schema(BARS))
     if not _exists(spark, directory):
-        return spark.createDataFrame([], _schema(BARS))
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
+        return bars
     try:
-        raw = spark.read.option("header", True).csv(f"{directory.rstrip('/')}/*.csv")
-    except AnalysisException:
-        return spark.createDataFrame([], _schema(BARS))
+        headers = _headers(spark, f"{directory.rstrip('/')}/*.csv")
+    except AnalysisException:  # no file matches
+        return bars
+    # the file's name is shown with %-escapes, in which a plus sign stands for itself
+    name = F.url_decode(F.replace(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1), F.lit("+"), F.lit("%2B")))
     fields = [f for f in _schema(BARS) if f.name != "symbol"]
-    return raw.select(F.url_decode(name).alias("symbol"), *[(F.col(f.name) if f.name in raw.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in fields])
+    for header, paths in sorted(headers.items()):
+        names = [c.strip().strip('"').lower() for c in header.lstrip("\ufeff").split(",")]
+        if twice := {c for c in names if c and names.count(c) > 1}:
+            raise ValueError(f"{paths[0]} names {sorted(twice)} twice")
+        schema = StructType([StructField(c or f"_{i}", StringType()) for i, c in enumerate(names)])
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
+        bars = bars.unionByName(raw.select(name.alias("symbol"), *[(F.col(f.name) if f.name in names else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in fields]))
+    return bars
 
 
 def bars_from_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from tape import bars, day, rows
 
-from tapeline.functions.tape import bars_with_neighbours, unique_boundaries, with_own_gap
+from tapeline.functions.tape import bars_with_neighbours, local_tape, unique_boundaries, with_own_gap
 from tapeline.operators import claims as C
 from tapeline.settings import ChainSettings
 from tapeline.sources.readers import claims_from_memory
@@ -42,7 +42,7 @@ def test_duplicates_of_one_confirmed_event(spark):
 
 def test_same_date(spark):
     c = claims(spark, ("A", day(10), 4, 1), ("A", day(10), 1, 4))
-    assert rows(C.collapse_same_date(c, near(spark, [100.0] * 10 + [25.0] * 10)).kept, *KEY) == [("A", day(10), 1.0, 4.0)]
+    assert rows(C.collapse_same_date(c, near(spark, [64.0] * 10 + [15.5] * 9)).kept, *KEY) == [("A", day(10), 1.0, 4.0)]
     assert rows(C.collapse_same_date(claims(spark, ("A", day(1), 1, 1), ("A", day(1), 1, 4))).kept, "ratio_to") == [(4.0,)]
 
 
@@ -73,19 +73,21 @@ def test_composite(spark):
     assert rows(kept, "ratio_from", "ratio_to") == [(10.0, 2.0)]
     for legs in ([("A", day(1), 10, 1, "v"), ("A", day(1), 750, 1, "v")], [("A", day(1), 10, 1), ("A", day(1), 1, 2)]):
         assert C.compose_same_day_legs(claims(spark, *legs)).kept.count() == 2
-    tape = near(spark, [100.0] * 10 + [25.0] * 10)
-    assert C.compose_same_day_legs(claims(spark, ("A", day(10), 1, 4, "v"), ("A", day(10), 4, 1, "v")), tape).kept.count() == 2
+    tape = near(spark, [48.0] * 10 + [12.5] * 8)
+    done = C.compose_same_day_legs(claims(spark, ("A", day(10), 1, 4, "v"), ("A", day(10), 4, 1, "v"), ("A", day(3), 7, 1, "v"), ("A", day(3), 9, 1, "v"), ("A", day(5), 7, 1, "v"), ("A", day(5), 1, 7, "v")), tape)
+    assert done.kept.count() == 5
+    assert rows(C.stage_totals(done.audit), "decision", "n") == [("composed", 2), ("left_as_conflict", 4)]
 
 
 def test_snap(spark):
-    b = bars(spark, ("A", [100.0] * 20 + [25.0] * 20))
+    b = bars(spark, ("A", [88.0] * 20 + [22.0] * 17))
     assert rows(C.snap_to_tape(claims(spark, ("A", day(22), 1, 4)), b).kept, "date") == [(day(20),)]
     assert rows(C.snap_to_tape(claims(spark, ("A", day(22), 10, 9)), b).kept, "date") == [(day(22),)]
 
 
 @pytest.mark.parametrize(
     ("closes", "found"),
-    [([100.0] * 10 + [25.0] * 10, [day(10)]), ([100.0] * 10 + [25.0, 95.0] + [96.0] * 8, []), ([100.0] * 8 + [25.0] * 3 + [6.0] * 9, []), ([100.0] * 10 + [25.0], [])],
+    [([72.0] * 10 + [18.5] * 7, [day(10)]), ([72.0] * 10 + [18.0, 70.0] + [71.0] * 6, []), ([72.0] * 8 + [18.0] * 3 + [4.6] * 7, []), ([72.0] * 10 + [18.0], [])],
 )
 def test_unique_boundary(spark, closes, found):
     got = unique_boundaries(claims(spark, ("A", day(10), 1, 4)), bars(spark, ("A", closes)))
@@ -122,3 +124,23 @@ def test_empty(spark):
 
 def test_dates(spark):
     assert day(0) == dt.date(2023, 1, 2)
+
+
+def test_chain_without_a_tape_goes_by_its_rules(spark):
+    c = claims(spark, ("A", day(1), 1, 2, "x"), ("A", day(4), 1, 2, "price_feed"), ("B", day(900), 1, 3, "x"), ("B", day(900), 3, 3, "x"), ("C", day(2), 1, 30, "x"))
+    done = C.collapse_all(c, s=S)
+    assert rows(done.kept, *KEY) == [("A", day(4), 1.0, 2.0), ("B", day(900), 1.0, 3.0), ("C", day(2), 1.0, 30.0)]
+    assert rows(done.audit, "stage", "decision") == [("duplicate", "collapsed"), ("same_date", "collapsed")]
+
+
+def test_local_tape_measures_as_the_whole_tape_does(spark):
+    """Sparse symbols, claims at both ends of the tape and beyond it."""
+    series = [("A", [10.0 + i % 7 for i in range(300)]), ("B", [5.0, 6.0]), ("C", [1.0 + i for i in range(40)])]
+    b = bars(spark, *series)
+    thin = b.filter("symbol != 'A' or date_format(date, 'D') % 40 = 1")
+    c = claims(spark, *[(s, day(d), 1, 4) for s in "ABCX" for d in (0, 1, 40, 41, 120, 299, 310, 700)])
+    for tape in (b, thin):
+        whole = rows(with_own_gap(c, bars_with_neighbours(tape)), "rid", "gap")
+        assert rows(with_own_gap(c, bars_with_neighbours(local_tape(c, tape))), "rid", "gap") == whole
+        assert rows(unique_boundaries(c, local_tape(c, tape)), "rid", "tape_date") == rows(unique_boundaries(c, tape), "rid", "tape_date")
+    assert local_tape(c.filter("date > '2024-06-01'"), b).count() == b.count()  # far claims see whole symbols

@@ -39,15 +39,17 @@ def test_asof_equals_brute_force(spark, forward, strict):
 
 # -- factors ----------------------------------------------------------------------------------------------------------
 def test_adjustment(spark):
-    b = bars(spark, ("A", [60.0] * 3 + [30.0] * 4 + [90.0] * 3), ("B", [5.0]))
-    out = factors.apply_adjustment(b, claims(spark, ("A", day(3), 1, 2), ("A", day(7), 3, 1)))
-    assert [r[2] for r in rows(out.filter("symbol = 'A'"), "symbol", "date", "price_factor")] == [1.5] * 3 + [3.0] * 4 + [1.0] * 3
+    b = bars(spark, ("A", [80.0, 84.0, 20.5, 20.0, 21.0, 107.0, 103.0]), ("B", [5.0]))
+    out = factors.apply_adjustment(b, claims(spark, ("A", day(2), 1, 4), ("A", day(5), 5, 1)))
+    assert [r[2] for r in rows(out.filter("symbol = 'A'"), "symbol", "date", "price_factor")] == [1.25] * 2 + [5.0] * 3 + [1.0] * 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Sort ") == plan.count("Sort [symbol")  # only the events are sorted
     assert rows(out.filter("symbol = 'B'"), "adj_close", "adj_volume") == [(5.0, 1000.0)]
 
 
 def test_factor_table(spark):
-    t = factors.build_factor_table(claims(spark, ("A", day(3), 1, 2), ("A", day(7), 3, 1)), str(day(0)))
-    assert rows(t, "date", "price_factor") == [(day(0), 1.5), (day(3), 3.0), (day(7), 1.0)]
+    t = factors.build_factor_table(claims(spark, ("A", day(4), 1, 8), ("A", day(11), 6, 1)), str(day(1)))
+    assert rows(t, "date", "price_factor") == [(day(1), 0.75), (day(4), 6.0), (day(11), 1.0)]
 
 
 def test_time_zones(spark):
@@ -58,6 +60,8 @@ def test_time_zones(spark):
         assert rows(factors.apply_adjustment(df, c, "ts", "Asia/Tokyo"), "price_factor") == [(1.0,)]
         assert rows(factors.apply_adjustment(df, c, "ts", "America/New_York"), "price_factor") == [(0.1,)]
         assert rows(factors.apply_adjustment(df, c, "ts", "America/New_York", {"A": "Asia/Tokyo"}), "price_factor") == [(1.0,)]
+        own = spark.createDataFrame([("A", "Asia/Tokyo"), ("B", "UTC")], "symbol string, zone string")
+        assert rows(factors.apply_adjustment(df, c, "ts", "America/New_York", own), "price_factor") == [(1.0,)]
 
 
 # -- guard ------------------------------------------------------------------------------------------------------------
@@ -92,6 +96,26 @@ def test_guard_runs_on_a_stream(spark, tmp_path):
     assert spark.table("guarded").first().high == 100.0
 
 
+def test_rekey_and_truth_on_streams(spark, tmp_path):
+    from tapeline.streaming.live import rekey_stream, truth_stream
+
+    def run(df, fn, name, mode):
+        path = str(tmp_path / name)
+        df.write.parquet(path)
+        q = fn(spark.readStream.schema(df.schema).parquet(path)).writeStream.format("memory").queryName(name).outputMode(mode).start()
+        q.processAllAvailable()
+        q.stop()
+        return spark.table(name)
+
+    h = history(spark, ("ID1", "T", day(0), day(4)), ("ID2", "T", day(5), None))
+    dated = spark.createDataFrame([("T", day(3)), ("T", day(6)), ("X", day(3))], "symbol string, date date")
+    assert rows(run(dated, lambda s: rekey_stream(s, h), "rekeyed", "append"), "symbol", "ticker") == [("ID1", "T"), ("ID2", "T"), ("X", "X")]
+    at = lambda d, hour: dt.datetime(2023, 1, d, hour)
+    ticks = spark.createDataFrame([("A", at(2, 9), 7.0), ("A", at(2, 15), 9.0), ("A", at(9, 1), 1.0)], "symbol string, ts timestamp, price double")
+    seen = run(ticks, truth_stream, "truths", "complete")
+    assert rows(seen, "date", "truth_high", "truth_low", "truth_n") == [(dt.date(2023, 1, 2), 9.0, 7.0, 2), (dt.date(2023, 1, 9), 1.0, 1.0, 1)]
+
+
 # -- breaks -----------------------------------------------------------------------------------------------------------
 def test_breaks(spark):
     w = walk(250)
@@ -247,6 +271,17 @@ def test_sources(spark, tmp_path):
     assert rows(R.symbols_of(back), "symbol") == [("7203",), ("A",)]
 
 
+def test_csv_columns_are_matched_by_name_in_each_file(spark, tmp_path):
+    (tmp_path / "A.csv").write_text("date,open,high,low,close,volume\n2023-01-02,1,4,0.5,2,10\n")
+    (tmp_path / "B+C.csv").write_text("date,close,open,high,low\n2023-01-02,2,1,4,0.5\n")
+    (tmp_path / "D 50%25.csv").write_text("Close, Date\nx,2023-01-02\n")
+    got = rows(R.bars_from_csv(spark, str(tmp_path)), "symbol", "open", "high", "low", "close", "volume")
+    assert got == [("A", 1.0, 4.0, 0.5, 2.0, 10), ("B+C", 1.0, 4.0, 0.5, 2.0, None), ("D 50%25", None, None, None, None, None)]
+    (tmp_path / "E.csv").write_text("date,close,close\n2023-01-02,2,1\n")
+    with pytest.raises(ValueError, match="twice"):
+        R.bars_from_csv(spark, str(tmp_path))
+
+
 # -- gauntlet ---------------------------------------------------------------------------------------------------------
 def test_gauntlet_meets_every_floor(spark):
     from tapeline.plans.gauntlet import scorecard

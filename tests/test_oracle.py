@@ -47,6 +47,6 @@ def test_query_equals_oracle(spark, duck, name):
 
 
 def test_plans_have_no_products_and_no_python(spark):
-    for name in ("apply_adjustment_daily", "gap_measure", "jump_candidates", "claims_vs_witness", "stale_runs", "date_shifts", "reconcile", "rekey", "bad_print_guard"):
+    for name in ("apply_adjustment_daily", "gap_measure", "jump_candidates", "scan_jumps", "claims_vs_witness", "stale_runs", "date_shifts", "reconcile", "rekey", "bad_print_guard"):
         plan = queries()[name](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "MapInArrow")), name
