@@ -6,13 +6,17 @@ import atexit
 import ctypes
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tapeline.functions.scratch import discard, few, materialize
+
+__all__ = ["arrow_rows", "discard", "few", "map_rows", "materialize", "release_memory", "row_identity", "ship", "shuffle_width", "table", "with_index"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,27 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set (local runs)."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tapeline-"))
-        root = sc.getCheckpointDir()
-    return root
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    The folder is left for the cluster's own expiry of ``spark.checkpoint.dir``.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/tapeline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -88,6 +71,7 @@ def release_memory() -> None:
 
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[dict]], Iterator[tuple]], schema: str, chunk: int = 500) -> DataFrame:
     """``fn`` maps column lists to row tuples, over Arrow batches cut to ``chunk`` rows so that memory stays bounded."""
+    ship(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema
     names = fields.names
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -108,3 +92,26 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[dict]], I
         release_memory()
 
     return df.select(*columns).mapInArrow(run, fields)
+
+
+def arrow_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package sent along and freed memory given back after each task."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def row_identity(docs: DataFrame) -> list[Column]:
+    """(row, key): two longs that tell a document's (doc_id, text) apart from others.
+
+    ``row`` is a whole-number id itself, 0 for a null one, and a hash of an id of another type. ``key`` is a hash of the
+    text; its lowest bit says that the id is null, so a null id is no value of its own.
+    """
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    row = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")) if whole else F.xxhash64("doc_id")
+    key = F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    return [row.alias("row"), key.alias("key")]

@@ -22,14 +22,19 @@ Sets with more long lists are near copies of something, or hold little but frequ
 most central set as head, and each of those sets is compared with the heads of its lists, which gives what it lacks (d
 elements) and adds. Two sets near one head p share at most |p| - max(d) elements of it, so they can only link if that
 is enough for their sizes, which classes of (size, d) decide, or if they add a common element, which a join on added
-elements finds. Sets far from the head are compared in pairs among themselves; the Jaccard distance is a metric, so a
-near and a far set link only if the near one is in the band that this join takes in.
+elements finds. Sets far from the head name another head among themselves, and so on for ``HEADS`` rounds; the Jaccard
+distance is a metric, so a near and a far set link only if the near one is in the band that stays with the far ones. What
+is far from all heads of a list is compared in pairs.
 
 Frequent elements are found by counting in every partition and summing the counts; they only move to the end of the
-order (at most ``MOST_FREQUENT`` of them are sent to the executors), which changes cost but no result.
+order (at most ``MOST_FREQUENT`` of them are sent to the executors), which changes cost but no result. The keys of a
+frequent element are dealt over a number of salts that grows with its count, so none has more than about ``SALT_ROWS``
+rows; an element that no task met three times in two million is in less than one document of a thousand.
 
 Edge cases: null or empty text has an empty set, linked with nothing; a text with fewer words than an n-gram has one
-element, its whole sequence; repeated rows link as equal sets; a null id counts as -1 in components; sets whose 64-bit name collides raise an error.
+element, its whole sequence; repeated rows link as equal sets; a row with a null id links as others do but is no smallest
+id, so a component of such rows only has a null id; ids other than whole numbers are an error; an empty table gives no
+rows; extra columns are ignored; sets whose 64-bit name collides raise an error.
 """
 
 from __future__ import annotations
@@ -40,11 +45,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeline.llm.common import materialize, release_memory
+from tapeline.llm.common import arrow_rows, materialize, row_identity
 from tapeline.llm.components import components
 from tapeline.llm.substrings import _Hashes
 
@@ -55,6 +60,8 @@ FAR = 0.5  # Jaccard distance from a head up to which a set counts as near it
 LONG = 16  # sets in a list; a longer one is only used among sets that have many such
 MOST_SUBSETS = 64  # a set with more goes to the lists, whatever their cost
 SALTS = 16
+SALT_ROWS = 1 << 15
+HEADS = 3
 SLICE = 400
 COUNTED_AT_ONCE = 2 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x9FB21C651E98DF25], np.uint64)
@@ -140,9 +147,8 @@ def _arrow(df: DataFrame, fn, schema: str) -> DataFrame:
 
         for cols in fn(slices()):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
-        release_memory()
 
-    return df.mapInArrow(run, fields)
+    return arrow_rows(df, run, fields)
 
 
 def _survey(rows: DataFrame, n: int) -> DataFrame:
@@ -184,7 +190,7 @@ def _keys(rows: DataFrame, n: int, rule: Rule, frequent: object) -> DataFrame:
     """(k, salt, id): what each set is found by. Frequent elements are salted; a task gives each set once."""
 
     def fn(slices):
-        hashes, heavy, done = _Hashes(), frequent.value, set()
+        hashes, (heavy, salts), done = _Hashes(), frequent.value, set()
         for (texts,) in slices:
             out: list[list[np.ndarray]] = [[], [], []]
             for at, text in enumerate(texts):
@@ -197,32 +203,33 @@ def _keys(rows: DataFrame, n: int, rule: Rule, frequent: object) -> DataFrame:
                 if len(done) > 200_000:
                     done.clear()
                 done.add(name)
-                add(out, x, name, at, heavy)
+                add(out, x, name, heavy, salts)
             if out[0]:
                 yield [np.concatenate(o) for o in out]
 
-    def add(out, x, name, at, heavy):
+    def add(out, x, name, heavy, salts):
+        # 0 for elements that are not frequent, else how many salts their keys are dealt over
+        many = np.zeros(len(x), np.int64)
         if len(heavy):
             where = np.minimum(np.searchsorted(heavy, x), len(heavy) - 1)
-            late = heavy[where] == x
-        else:
-            late = np.zeros(len(x), bool)
+            many = np.where(heavy[where] == x, salts[where], 0)
+        late = many > 0
         order = np.argsort(late, kind="stable")
         size = len(x)
         k, busy = [], []
         if rule.listed(size) or not rule.small(size):
             p = order[: rule.prefix(size, 1 + rule.extra(size))]
             k.append(_mix(x[p] ^ np.uint64(1)))
-            busy.append(late[p])
+            busy.append(many[p])
         if rule.small(size):
             p = order[: rule.prefix(size, 2)]
             i, j = np.triu_indices(len(p), 1)
             lo, hi = np.minimum(x[p][i], x[p][j]), np.maximum(x[p][i], x[p][j])
             k.append(_mix(_mix(lo) * _ODD[0] + hi))
-            busy.append(late[p][i] & late[p][j])
+            busy.append(np.minimum(many[p][i], many[p][j]))
         k, busy = np.concatenate(k), np.concatenate(busy)
         out[0].append(k.view(np.int64))
-        out[1].append(np.where(busy, (name + at) % SALTS, -1).astype(np.int32))
+        out[1].append(np.where(busy > 0, name % np.maximum(busy, 1), -1).astype(np.int32))
         out[2].append(np.full(len(k), name, np.int64))
 
     return _arrow(rows, fn, "k long, salt int, id long")
@@ -289,14 +296,16 @@ def _compare(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     return _arrow(both, fn, "a long, b long, na long, nb long, both long, added array<long>")
 
 
-def similar_sets(docs: DataFrame, n: int, num: int, den: int, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Documents (row, key, id, size; ``key`` is a hash of the text) and components (id, component) of sets that link with another one."""
+def similar_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (``row_identity`` and id, size) and components (id, component) of sets that link with another one."""
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("row"), (F.hash("text").cast("long") if key is None else key).alias("key"), "text")
+    rows = docs.select(*row_identity(docs), "text")
     seen = materialize(_survey(rows, n))
     common = seen.filter("kind = 1").groupBy("id").agg(F.sum("size").alias("c")).filter(F.col("c") >= FREQUENT)
-    top = common.orderBy(F.desc("c"), "id").limit(MOST_FREQUENT).toArrow()["id"].to_numpy().astype(np.int64)
-    frequent = sc.broadcast(np.sort(top.view(np.uint64)))
+    top = common.orderBy(F.desc("c"), "id").limit(MOST_FREQUENT).toArrow()
+    name, count = top["id"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
+    by_name = np.argsort(name)
+    frequent = sc.broadcast((name[by_name], np.clip(count[by_name] // SALT_ROWS, SALTS, 1 << 20)))
     lists = seen.filter("kind = 2").groupBy("id").agg(F.sum("size").alias("c")).filter(F.col("c") < FREQUENT)
     load = lists.agg(F.sum(F.col("c").cast("double") * F.col("c")), F.sum("c")).first()
     rule = Rule(num, den)
@@ -349,25 +358,37 @@ def similar_sets(docs: DataFrame, n: int, num: int, den: int, key: Column | None
         pairs = met_in.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).agg(F.count("*").alias("n"), F.first(must).alias("must"))
         return pairs.filter(F.col("n") >= F.col("must")).select("a", "b")
 
-    # sets with many long lists: each against the heads of its lists
+    # sets with many long lists: each against the heads of its lists; those far from them against heads of their own
     hot = left.filter("hot")
-    long_rows = hot.filter(F.col("sets") > LONG)
-    heads = materialize(long_rows.groupBy("k").agg(F.max_by("id", F.struct(F.col("dropped") / F.col("size"), "id")).alias("head")))
-    headed = materialize(long_rows.join(heads, "k").select("k", "id", "head"))
-    compared = materialize(_compare(headed.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts, n))
+    waiting = hot.filter(F.col("sets") > LONG).select("k", "id", "dropped", "size")
+    nears, links_now, fars = [], links, None
+    for turn in range(HEADS):
+        heads = waiting.groupBy("k").agg(F.max_by("id", F.struct(F.col("dropped") / F.col("size"), "id")).alias("head"))
+        headed = materialize(waiting.join(heads, "k"))
+        compared = materialize(_compare(headed.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts, n))
+        nears.append(compared)
+        gap = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+        beyond = compared.filter(gap >= FAR - (1 - num / den) - 1e-9).select(F.col("b").alias("id"), F.col("a").alias("head"))
+        fars = materialize(headed.join(beyond, ["id", "head"]).select("k", "id", "dropped", "size"))
+        crowded = fars.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > LONG).select("k")
+        if turn == HEADS - 1 or crowded.isEmpty():
+            break
+        waiting = fars
+    compared = nears[0]
+    for more in nears[1:]:
+        compared = compared.unionByName(more)
     found = compared.filter(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-    links = materialize(links.unionByName(found).distinct())
+    links = materialize(links_now.unionByName(found).distinct())
     parts = materialize(components(links))
     placed = lambda df: df.drop("part").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     left = materialize(placed(left))
     still = materialize(left.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("k"))
     left = materialize(left.join(still, "k", "left_semi"))
     rest = apart(left.filter(F.col("sets") <= LONG), True)
-    # far from the head, in pairs
+    # far from all heads, in pairs
     gap = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     at_head = compared.select(F.col("b").alias("id"), F.col("a").alias("head"), gap.alias("gap"), "na", "nb", (F.col("na") - F.col("both")).alias("d"), "added")
-    far = headed.join(at_head.filter(F.col("gap") >= FAR - (1 - num / den) - 1e-9).select("id", "head"), ["id", "head"]).select("k", "id")
-    far = left.filter("hot").join(far, ["k", "id"], "left_semi")
+    far = left.filter("hot").join(fars.select("k", "id"), ["k", "id"], "left_semi")
     far_keys = materialize(far.select("k", "id").distinct().groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"))
     rest = rest.unionByName(apart(far.join(far_keys, "k", "left_semi"), False, one_is_enough=True))
     # near the head: by what they add, or by classes of size and lack
@@ -401,28 +422,27 @@ def similar_sets(docs: DataFrame, n: int, num: int, den: int, key: Column | None
 def similarity_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Per document row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     names, parts = similar_sets(docs, n, num, den)
-    named = names.join(parts, "id", "left").select("row", "size", F.coalesce("component", "id").alias("part"))
-    first = materialize(named.filter(F.col("part").isNotNull()).groupBy("part").agg(F.min("row").alias("first")))
+    own = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("row"))
+    named = names.join(parts, "id", "left").select(own.alias("doc_id"), "size", F.coalesce("component", "id").alias("part"))
+    first = materialize(named.filter(F.col("part").isNotNull()).groupBy("part").agg(F.min("doc_id").alias("first")))
     done = named.join(first, "part", "left")
-    own = F.when(F.col("row") == -1, None).otherwise(F.col("row"))
-    return done.select(own.alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("first", "row").alias("component_id"))
+    return done.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of ``docs`` for each component, of those with the smallest id, and all rows whose sets are empty.
+    """One row of ``docs`` for each component, of those with the smallest id (null ids first), and all rows whose sets are empty.
 
     Rows are told apart by id and text, so an id may stand for several texts; of rows with equal ids and texts one stays.
     """
-    key = F.xxhash64("text")
-    names, parts = similar_sets(docs, n, num, den, key)
+    names, parts = similar_sets(docs, n, num, den)
     sets = names.filter(F.col("id").isNotNull()).groupBy("id", "row", "key").agg(F.count("*").alias("n"))
-    firsts = sets.groupBy("id").agg(F.min(F.struct("row", "key", "n")).alias("at"))
+    firsts = sets.groupBy("id").agg(F.min(F.struct((F.col("key").bitwiseAND(F.lit(1)) == 0).alias("named"), "row", "key", "n")).alias("at"))
     placed = firsts.join(parts, "id", "left").groupBy(F.coalesce("component", "id").alias("part")).agg(F.min("at").alias("at"))
     chosen = materialize(placed.select(F.col("at.row").alias("_row"), F.col("at.key").alias("_key"), F.col("at.n").alias("_n")))
     columns = [f"_c{i}" for i in range(len(docs.columns))]
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    row, key = row_identity(docs)
     empty = F.coalesce(~F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(True))  # the blanks between words of bytes
-    keyed = docs.select(own.alias("_row"), key.alias("_key"), empty.alias("_empty"), *[docs[f"`{c}`"].alias(x) for c, x in zip(docs.columns, columns, strict=True)])
+    keyed = docs.select(row.alias("_row"), key.alias("_key"), empty.alias("_empty"), *[docs[f"`{c}`"].alias(x) for c, x in zip(docs.columns, columns, strict=True)])
     full = keyed.filter("not _empty")
     once = full.join(chosen.filter("_n = 1"), ["_row", "_key"], "left_semi").select(*columns)
     # rows that occur more than once meet in each task first; which of them stays is set by a hash of their other columns

@@ -5,12 +5,21 @@ other numbers stay. Keys are known by their prefix, or by a name such as ``token
 with or without blanks and quotes. A validated value's variable part is read as a number below some limit and permuted
 there by a keyed balanced Feistel network with cycle walking; check digits are made anew, separators, prefixes and case
 stay. The same value gives the same pseudonym in every document, whatever its separators, and with the key the
-permutation can be undone.
+permutation can be undone. Phone numbers keep their country code, which the fixed prefixes of the numbering plan tell,
+so a number is the same with or without separators, a bracketed trunk zero or, in North America, the code itself.
+
+A calendar day has one pseudonym however it is written. So that every writing keeps its widths and is read back in its
+own order, a day stays in its class: day of the month below 10, below 13 or above, month below 10 or not. Those two
+facts of a date therefore remain visible; years are permuted over 1900 to 2099.
+
+The key is the caller's. ``secret_key`` takes it from the session's setting ``spark.tapeline.pseudonym.key``; where that
+is not set, an application draws a key of its own, so values are linked within its results and nobody can undo them.
 
 Edge cases: null text stays null; empty text and text without such values stay as they are; a value that is
 part of a longer word or number is not one; where tokens after a value would fit its pattern, the usual length of a card
 or IBAN is tried first and then shorter ends from the longest, so digits that can be read in two ways next to a value may
-not be restored exactly; repeated rows give equal results; ``n_found`` is 0 for null text.
+not be restored exactly; repeated rows give equal results; ``n_found`` is 0 for null text; an empty key is an error; an
+empty table gives no rows; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -19,17 +28,22 @@ import datetime as dt
 import hashlib
 import hmac
 import math
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm.common import map_rows
 
-#: Only for tests and reports: real runs pass their own secret.
-DEMO_KEY = b"tapeline demo key"
+KEY_SETTING = "spark.tapeline.pseudonym.key"
 ROUNDS = 8
+#: Country calling codes of one and two digits; all others have three.
+_ONE_DIGIT = ("1", "7")
+_TWO_DIGITS = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
 # a key's name and what stands between it and the value
 _NAMED = r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?[ \t]{0,8}(?:=>|:=|[=:])[ \t]{0,8}"
 # up to the closing quote, or a word without the marks that end it
@@ -46,6 +60,31 @@ _IBAN_LENGTH = {
 _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 
 
+def secret_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting, or one that this application draws once and keeps."""
+    if said := spark.conf.get(KEY_SETTING, ""):
+        return said.encode()
+    sc = spark.sparkContext
+    if not getattr(sc, "_tapeline_key", None):
+        sc._tapeline_key = secrets.token_bytes(32)
+    return sc._tapeline_key
+
+
+def country_code(digits: str) -> str:
+    return digits[:1] if digits[:1] in _ONE_DIGIT else digits[:2] if digits[:2] in _TWO_DIGITS else digits[:3]
+
+
+@lru_cache(maxsize=1)
+def _day_classes() -> tuple[dict[int, tuple[int, int]], list[list[dt.date]]]:
+    """Place (class, number) of each day, and the days of each class."""
+    groups: dict[tuple[int, bool], list[dt.date]] = {}
+    for n in range(_DAYS):
+        d = dt.date.fromordinal(_DAY0 + n)
+        groups.setdefault((0 if d.day < 10 else 1 if d.day < 13 else 2, d.month < 10), []).append(d)
+    lists = [groups[k] for k in sorted(groups)]
+    return {d.toordinal(): (i, n) for i, days in enumerate(lists) for n, d in enumerate(days)}, lists
+
+
 class Feistel:
     """Keyed permutation of the numbers below a limit, one for each (kind, limit)."""
 
@@ -95,6 +134,8 @@ class Pseudonyms:
     """Finds and replaces. ``sign`` 1 hides, -1 restores."""
 
     def __init__(self, key: bytes, sign: int = 1):
+        if not key:
+            raise ValueError("pseudonyms need a key")
         self.f = Feistel(key)
         self.turn = self.f.permute if sign > 0 else self.f.invert
         kinds: list[tuple[str, str, Callable[[str], str | None]]] = [
@@ -104,7 +145,7 @@ class Pseudonyms:
             ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)", self.ip),
             ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w]|[-/.]\d)", self.date),
             ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", self.ssn),
-            ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])", self.phone),
+            ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])", self.phone),
             ("card", r"(?<![\w.,-])\d(?:[ -]?\d){12,18}(?![\w]|[-]\d)", self.card),
         ]
         self.makers = {name: fn for name, _, fn in kinds}
@@ -179,30 +220,21 @@ class Pseudonyms:
         sep = next(c for c in s if not c.isdigit())
         parts = s.split(sep)
         iso = len(parts[0]) == 4
-        a, b = int(parts[0 if not iso else 2]), int(parts[1])
-        year = int(parts[0] if iso else parts[2])
-        month_first = not iso and sep == "/" and b > 12 >= a
-        day, month = (b, a) if month_first else (a, b)
+        first, second, year = (parts[2], parts[1], parts[0]) if iso else parts
+        # day before month, unless only the other order gives a date; a pseudonym keeps to the same side of the 12th
+        month_first = not iso and sep == "/" and int(second) > 12 >= int(first)
+        day, month = (second, first) if month_first else (first, second)
         try:
-            n = dt.date(year, month, day).toordinal() - _DAY0
+            n = dt.date(int(year), int(month), int(day)).toordinal()
         except ValueError:
             return None
-        if not 0 <= n < _DAYS:
+        places, lists = _day_classes()
+        if n not in places:
             return None
-        d = dt.date.fromordinal(_DAY0 + self.turn("date", _DAYS, n))
-        if month_first and d.day <= 12:  # it must be read back in the same order
-            d2 = self._month_first(n)
-            d = d2
-        pad = lambda x, like: f"{x:0{len(like)}d}" if like.startswith("0") or len(like) > 1 else str(x)
-        first, second = (d.month, d.day) if month_first or iso else (d.day, d.month)
-        return sep.join([f"{d.year:04d}", pad(first, parts[1]), pad(second, parts[2])] if iso else [pad(first, parts[0]), pad(second, parts[1]), f"{d.year:04d}"])
-
-    def _month_first(self, n: int) -> dt.date:
-        while True:  # cycle walking among the days after the 12th
-            n = self.turn("date", _DAYS, n)
-            d = dt.date.fromordinal(_DAY0 + n)
-            if d.day > 12:
-                return d
+        kind, at = places[n]
+        new = lists[kind][self.turn(f"date{kind}", len(lists[kind]), at)]
+        day, month = str(new.day).zfill(len(day)), str(new.month).zfill(len(month))
+        return sep.join([f"{new.year:04d}", month, day] if iso else [month, day, f"{new.year:04d}"] if month_first else [day, month, f"{new.year:04d}"])
 
     def ssn(self, s: str) -> str | None:
         area, group, serial = s.split("-")
@@ -216,14 +248,18 @@ class Pseudonyms:
         return f"{areas[area_n]:03d}-{group_n + 1:02d}-{serial_n + 1:04d}"
 
     def phone(self, s: str) -> str | None:
-        digits = "".join(c for c in s if c.isdigit())
+        trunk = s.find("(0)") if s.startswith("+") else -1  # said beside the country code, it is no part of the number
+        head, tail = (s[:trunk], s[trunk:]) if trunk >= 0 else (s, "")
+        said, tail = ("(0)", tail[3:]) if trunk >= 0 else ("", "")
+        digits = "".join(c for c in head + tail if c.isdigit())
         if not 8 <= len(digits) <= 15:
             return None
-        skip = len(regex.match(r"\+?(\d{0,3})", s)[1]) if s.startswith("+") else 0
-        own = digits[skip:]
-        if skip and len(own) < 6:
+        code = country_code(digits) if s.startswith("+") else ""
+        own = digits[len(code) :]
+        if code and len(own) < 6:
             return None
-        return self._refill(s, digits[:skip] + self._digits("phone", own))
+        filled = self._refill(head + tail, code + self._digits("phone", own))
+        return filled[: len(head)] + said + filled[len(head) :]
 
     def card(self, s: str) -> str | None:
         digits = "".join(c for c in s if c.isdigit())
@@ -277,6 +313,8 @@ class Pseudonyms:
 
 def pseudonymize(docs: DataFrame, key: bytes, keep: list[str] | None = None) -> DataFrame:
     """All columns of ``docs`` (or ``keep``), ``text`` with pseudonyms, and ``n_found`` unless one of them is called so."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     keep = keep or docs.columns
     names = [f"_c{i}" for i in range(len(keep))]
     inner = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(keep, names, strict=True)])

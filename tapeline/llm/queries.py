@@ -13,7 +13,7 @@ from tapeline.llm.hamming import nearest_report
 from tapeline.llm.jaccard import similarity_classes
 from tapeline.llm.language import language_report
 from tapeline.llm.pages import extract_pages
-from tapeline.llm.pseudonyms import DEMO_KEY, pseudonymize
+from tapeline.llm.pseudonyms import pseudonymize, secret_key
 from tapeline.llm.quality import quality_report
 from tapeline.llm.sharding import shard_documents
 from tapeline.llm.substrings import cut_repeats
@@ -34,7 +34,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents"), DEMO_KEY, keep=["doc_id", "text"])
+    return pseudonymize(table(spark, sf_dir, "documents"), secret_key(spark), keep=["doc_id", "text"])
 
 
 def op4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:

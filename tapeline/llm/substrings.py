@@ -8,12 +8,12 @@ windows, and windows that two extensions share repeat. Adjacent repeated windows
 they cover are removed.
 
 Counts are summed before they are dealt out, occurrences are joined with the counts of their own extension, and no two
-occurrences are ever paired, so a passage of many copies costs as much as as many different ones. Extensions and windows
-are compared by 128 bits of hash.
+occurrences are ever paired, so a passage of many copies costs as much as as many different ones. Extensions of one
+anchor, and windows, are compared by 128 bits of hash.
 
 Edge cases: null or empty text has no words; texts shorter than a window lose nothing; repeated rows are repeats of each
-other, and so are equal passages of one document; rows of one id with different texts are told apart by a hash of the text; extra
-columns are ignored.
+other, and so are equal passages of one document; rows of one id with different texts, and rows with null ids, are told
+apart by 63 bits of hash of the text; ids may be of any type; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import materialize, release_memory
+from tapeline.llm.common import arrow_rows, discard, materialize, row_identity
 
 LENGTH = 35
 SEED = 8
@@ -105,7 +105,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(roller: Roller, texts: list[list[bytes]], length: int, seed: int) -> tuple[np.ndarray, ...] | None:
-    """Anchors that stand for windows of any of the texts: text, hash, extension hash, first window, last - first.
+    """Anchors that stand for windows of any of the texts: text, hash, two extension hashes, first window, last - first.
 
     All texts are hashed in one go; seeds that cross into the next text never win, windows that do are left out.
     """
@@ -127,11 +127,11 @@ def anchors(roller: Roller, texts: list[list[bytes]], length: int, seed: int) ->
     if not len(first):
         return None
     where = place[first]
-    ext = roller.ranges(prefix, 1, first, last + length)
     # the anchor's place in the extension and the number of windows belong to what must agree
-    ext = (ext ^ ((where - first) * 64 + (last - first)).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+    shape = ((where - first) * 64 + (last - first)).astype(np.uint64)
+    one, two = ((roller.ranges(prefix, k, first, last + length) ^ shape) * np.uint64(0x9FB21C651E98DF25) for k in (1, 2))
     text = owner[first]
-    return text, h[where].view(np.int64), ext.view(np.int64), (first - begin[text]).astype(np.int32), (last - first).astype(np.int32)
+    return text, h[where].view(np.int64), one.view(np.int64), two.view(np.int64), (first - begin[text]).astype(np.int32), (last - first).astype(np.int32)
 
 
 def _groups(texts: list[list[bytes]], most: int = 150_000) -> Iterator[range]:
@@ -156,9 +156,8 @@ def _batches(df: DataFrame, fn, schema: str) -> DataFrame:
             for at in range(0, b.num_rows, 400):
                 for cols in fn(roller, b.slice(at, 400)):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-        release_memory()
 
-    return df.mapInArrow(run, schema)
+    return arrow_rows(df, run, schema)
 
 
 def _emit_anchors(length: int, seed: int):
@@ -169,8 +168,8 @@ def _emit_anchors(length: int, seed: int):
         for part in _groups(texts):
             got = anchors(roller, [texts[i] for i in part], length, seed)
             if got is not None:
-                text, h, e, lo, more = got
-                yield [h, e, rows[text + part.start], keys[text + part.start].astype(np.int32), lo, more]
+                text, h, e, f, lo, more = got
+                yield [h, e, f, rows[text + part.start], keys[text + part.start], lo, more]
 
     return fn
 
@@ -183,44 +182,47 @@ def _emit_windows(length: int):
             prefix = roller.prefix(words_of(unpack(blob)))
             w = np.concatenate([np.arange(x["lo"], x["lo"] + x["more"] + 1) for x in wanted])
             one, two = (roller.ranges(prefix, k, w, w + length).view(np.int64) for k in (1, 2))
-            yield [np.full(len(w), row, np.int64), np.full(len(w), key, np.int32), w.astype(np.int32), one, two]
+            yield [np.full(len(w), row, np.int64), np.full(len(w), key, np.int64), w.astype(np.int32), one, two]
 
     return fn
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(row, key, spans): per row with repeats, the starts of repeated windows as (lo, more). ``docs``: row, key, text."""
-    found = materialize(_batches(docs, _emit_anchors(length, seed), "h long, e long, row long, key int, lo int, more int"))
+    found = materialize(_batches(docs.select("row", "key", "text"), _emit_anchors(length, seed), "h long, e long, f long, row long, key long, lo int, more int"))
     # counts are written before they are joined, so that both sides of a join are dealt anew and hot keys can be split
     again = materialize(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    found = materialize(found.join(again, "h", "left_semi"))
+    first, found = found, materialize(found.join(again, "h", "left_semi"))
+    discard(first)
     # one line for each different extension of each anchor: how often, and one place where
-    exts = materialize(found.groupBy("h", "e").agg(F.count("*").alias("n"), F.min(F.struct("row", "key", "lo", "more")).alias("at")))
-    full = exts.filter("n > 1").select("h", "e")
-    whole = found.join(full, ["h", "e"], "left_semi").select("row", "key", "lo", "more")
+    exts = materialize(found.groupBy("h", "e", "f").agg(F.count("*").alias("n"), F.min(F.struct("row", "key", "lo", "more")).alias("at")))
+    full = exts.filter("n > 1").select("h", "e", "f")
+    whole = found.join(full, ["h", "e", "f"], "left_semi").select("row", "key", "lo", "more")
     # anchors with several extensions: windows of one place each
     several = materialize(exts.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h"))
     ask = exts.join(several, "h", "left_semi").select("at.row", "at.key", "at.lo", "at.more")
     wanted = ask.groupBy("row", "key").agg(F.collect_list(F.struct("lo", "more")).alias("wanted"))  # no longer than its text
-    asked = packed(docs).join(wanted, ["row", "key"]).select("row", "key", "blob", "wanted")
-    windows = materialize(_batches(asked, _emit_windows(length), "row long, key int, start int, a long, b long"))
+    asked = packed(docs.select("row", "key", "text")).join(wanted, ["row", "key"]).select("row", "key", "blob", "wanted")
+    windows = materialize(_batches(asked, _emit_windows(length), "row long, key long, start int, a long, b long"))
     twice = materialize(windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"))
     part = windows.join(twice, ["a", "b"], "left_semi").select("row", "key", F.col("start").alias("lo"), F.lit(0).alias("more"))
     return whole.unionByName(part).groupBy("row", "key").agg(F.collect_list(F.struct("lo", "more")).alias("spans"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(row, key, blob): texts compressed for the way through a shuffle. ``docs``: row, key, text."""
+    """``docs`` (row, key, text and more) with the text as ``blob``, compressed for the way through a shuffle."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             for at in range(0, b.num_rows, 400):
                 part = b.slice(at, 400)
-                blobs = [z.compress((t or "").encode("utf-8", "replace")) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())], names=["row", "key", "blob"])
+                blobs = [z.compress((t or "").encode("utf-8", "replace")) for t in part.column(len(others)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(blobs, pa.binary())], names=[*others, "blob"])
 
-    return docs.select("row", "key", "text").mapInArrow(run, "row long, key int, blob binary")
+    kinds = dict(docs.dtypes)
+    return arrow_rows(docs.select(*others, "text"), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "blob binary"]))
 
 
 def unpack(blob: bytes) -> str:
@@ -229,27 +231,26 @@ def unpack(blob: bytes) -> str:
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
     """Per document row: doc_id, n_words, n_removed, kept_sha256 and, if asked, the kept text."""
-    row = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    rows = docs.select(row.alias("row"), F.hash("text").alias("key"), "text")
+    rows = docs.select(*row_identity(docs), "doc_id", "text")
     spans = repeats(rows, length, seed)
-    both = packed(rows).join(spans, ["row", "key"], "left").select(F.when(F.col("row") != -1, F.col("row")).alias("doc_id"), "blob", "spans")
+    both = packed(rows).join(spans, ["row", "key"], "left").select("doc_id", "blob", "spans")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 400):
                 part = b.slice(at, 400)
-                out: list[list] = [[] for _ in names]
-                for row, blob, marked in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                out: list[list] = [[] for _ in names[1:]]
+                for blob, marked in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     words = words_of(unpack(blob))
                     keep = np.ones(len(words), bool)
                     for s in marked or ():
                         keep[s["lo"] : s["lo"] + s["more"] + length] = False
                     kept = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]) if marked else b" ".join(words)
-                    values = [row, len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()]
+                    values = [len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()]
                     for o, v in zip(out, values, strict=False):
                         o.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=False)], names=names)
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(o, k) for o, k in zip(out, kinds, strict=False))], names=names)
 
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))
+    return arrow_rows(both, run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))
