@@ -14,7 +14,7 @@ from tapeline.llm.bpe import encode_documents
 from tapeline.llm.common import materialize, table
 from tapeline.llm.decontaminate import drop_leaks
 from tapeline.llm.jaccard import keep_one
-from tapeline.llm.pseudonyms import DEMO_KEY, pseudonymize
+from tapeline.llm.pseudonyms import pseudonymize, secret_key
 from tapeline.llm.quality import filter_quality
 from tapeline.llm.queries import tokenizer_path
 
@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms in place of personal values."""
-    return pseudonymize(docs, DEMO_KEY).select(*docs.columns)
+    return pseudonymize(docs, secret_key(spark)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
