@@ -1,25 +1,29 @@
 """Main text of web pages by gradient-boosted trees over DOM-node features.
 
-A page is parsed into a tree (unclosed and stray tags as browsers treat them). Every element gets features: densities of
+A page is parsed into a tree in linear time (unclosed and stray tags as browsers treat them). Every element gets features: densities of
 its subtree (text, links, punctuation, tags, controls), groups of tokens in its class, id and role and in those of its
 ancestors, depth, and how it compares with its siblings and parent. Boosted trees, trained in numpy on generated pages
-of many layouts with known main text, give each element log-odds of being main text. Decoding is hierarchical: the kept
+of many layouts with known main text, give each element log-odds of being main text; ``python -m tapeline.llm.pages``
+trains them and writes ``page_trees.json``, which queries read. Decoding is hierarchical: the kept
 elements are the subtree closed under parents with the largest total weight, so nothing is kept inside a dropped element
 and an element is only dropped with all below it.
 
 Edge cases: null or empty html gives an empty text; a page without main text gives an empty text; text outside any tag
-belongs to the page's root; deep nesting is handled without recursion; repeated rows give equal results; other columns
-are ignored.
+belongs to the page's root; deep nesting is handled without recursion; a tag that the page's end cuts off is no text;
+elements with ``hidden``, or styled so, and dialogs that are not open are not shown; repeated rows give equal results; null
+ids and urls stay null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as htmllib
+import json
 import math
 import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from tapeline.llm.common import map_rows
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style head title noscript template iframe svg object canvas select option textarea button audio video datalist dialog math".split())
+HIDDEN = frozenset("script style head title noscript template iframe svg object canvas select option textarea button audio video datalist".split())
 RAW = frozenset("script style title textarea noscript template iframe svg".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: What an opening tag closes first, up to the given ancestors.
@@ -53,8 +57,11 @@ GROUPS = [
 TAGS = ["article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "nav", "header", "footer", "aside", "form fieldset label input", "a", "table tbody tr td th thead", "blockquote pre figure figcaption code", "span b i em strong small", "body html"]
 _TOKEN_GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 _TAG_GROUP = {t: i for i, g in enumerate(TAGS) for t in g.split()}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+# up to the end of a tag; possessive, so that it is read once
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _WORD = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+(?![a-z])")
 _MARKS = re.compile(r"[.,;:!?]")
 
@@ -70,91 +77,128 @@ class Node:
         self.label = -1
 
 
+class _Open:
+    """The open elements, with the places of each tag and of blocks, so that no step walks through them."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.stack, self.blocks = nodes, [0], [0]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, number: int, tag: str) -> None:
+        at = len(self.stack)
+        self.stack.append(number)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at this place and all inside it."""
+        while len(self.stack) > at:
+            self.places[self.nodes[self.stack.pop()].tag].pop()
+        while self.blocks[-1] >= at:
+            self.blocks.pop()
+
+    def last(self, tags: frozenset[str] | set[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def head(self) -> bool:
+        return len(self.stack) > 1 and self.nodes[self.stack[1]].tag == "head"
+
+
 def parse(page: str) -> list[Node]:
     """Elements in page order; the first is a root that holds all."""
     nodes = [Node("html", -1, 0, False)]
-    stack = [0]
-    at, size = 0, len(page)
+    seen = _Open(nodes)
+    at, size, scan, strict = 0, len(page), 0, True
 
-    def end_head() -> None:
-        if len(stack) > 1 and nodes[stack[1]].tag == "head":
-            del stack[1:]
-
-    while at < size:
-        m = _TAG.search(page, at)
-        end = m.start() if m else size
+    def text(end: int) -> None:
         if end > at:
-            if nodes[stack[-1]].tag == "head" and page[at:end].strip():
-                end_head()
-            top = nodes[stack[-1]]
+            if nodes[seen.stack[-1]].tag == "head" and page[at:end].strip():
+                seen.cut(1)
+            top = nodes[seen.stack[-1]]
             if not top.hidden:
                 top.items.append(page[at:end])
-        if not m:
+
+    while True:
+        lt = page.find("<", scan)
+        if lt < 0:
+            text(size)
             break
-        at = m.end()
-        name = m[2]
-        if not name:
+        if page.startswith(("<!", "<?", "</"), lt) and not (page[lt + 1] == "/" and page[lt + 2 : lt + 3].isalpha()):
+            text(lt)  # a comment, a declaration or what browsers take for one
+            mark = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+            end = page.find(mark, lt + 2)
+            if end < 0 and mark == "]]>":
+                mark, end = ">", page.find(">", lt)
+            if end < 0:
+                break
+            at = scan = end + len(mark)
             continue
-        name = name.lower()
-        if m[1]:
-            if name == "p" and not any(nodes[i].tag == "p" for i in stack):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCK and nodes[stack[k]].tag in BLOCK:
-                    break  # an inline end tag doesn't close a block
+        m = _NAME.match(page, lt + 1)
+        if not m:
+            scan = lt + 1  # an ordinary sign
+            continue
+        text(lt)
+        rest = _REST.match(page, m.end()) if strict else None
+        if rest:
+            inside, at = rest[1], rest.end()
+        else:  # quotes that never end: from here on, tags end at the next sign for it
+            strict = False
+            end = page.find(">", m.end())
+            if end < 0:
+                break
+            inside, at = page[m.end() : end], end + 1
+        scan = at
+        name = m[1].lower()
+        if page[lt + 1] == "/":
+            place = seen.last({name})
+            if place and (name in BLOCK or place > seen.blocks[-1]):  # an inline end tag doesn't close a block
+                seen.cut(place)
             continue
         if name == "html":
             continue
         if name == "head" and (len(nodes) > 1 or any(t.strip() for t in nodes[0].items)):
             continue  # only the first thing of a page can be its head
-        if name not in IN_HEAD:
-            end_head()
-        if name in P_ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[k]].tag
-                if tag == "p":
-                    del stack[k:]
-                    break
-                if tag in BLOCK:
-                    break
+        if name not in IN_HEAD and seen.head():
+            seen.cut(1)
+        if name in P_ENDS and nodes[seen.stack[seen.blocks[-1]]].tag == "p":
+            seen.cut(seen.blocks[-1])
         if name in CLOSES:
             ends, stops = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[k]].tag
-                if tag in stops:
-                    break
-                if tag in ends:
-                    del stack[k:]
-                    break
-        up = stack[-1]
-        node = Node(name, up, len(stack), nodes[up].hidden or name in HIDDEN)
+            place = seen.last(ends)
+            if place > seen.last(stops):
+                first = min(p for t in ends for p in seen.places.get(t, ())[-1:])
+                seen.cut(place if first <= seen.last(stops) else first)
+        up = seen.stack[-1]
+        node = Node(name, up, len(seen.stack), nodes[up].hidden or name in HIDDEN)
         if name in ("article", "main", "nav", "header", "footer", "aside", "form"):
             node.groups.add(_TOKEN_GROUP[name])
-        if m[3]:
-            for a in _ATTR.finditer(m[3]):
+        shown = name != "dialog"
+        if inside:
+            for a in _ATTR.finditer(inside):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id", "role"):
                     node.groups.update(g for t in _WORD.findall(value) if (g := _TOKEN_GROUP.get(t.lower())) is not None)
                 elif key == "data-y":
                     node.label = int(value)
-                elif key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "")):
+                elif key == "hidden" or (key == "style" and _HIDING.search(value)):
                     node.hidden = True
+                elif key == "open":
+                    shown = True
+        node.hidden |= not shown
         number = len(nodes)
         nodes.append(node)
         nodes[up].children.append(number)
         nodes[up].items.append(number)
-        if name in VOID or m[3].endswith("/") and name in ("svg", "path"):
+        if name in VOID or inside.endswith("/") and name in ("svg", "path"):
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if name == "textarea" or name == "title" or not close:
-                pass
-            at = close.end() if close else size
+            if not close:
+                break
+            at = scan = close.end()
             continue
-        stack.append(number)
+        seen.push(number, name)
     return nodes
 
 
@@ -163,11 +207,11 @@ N_FEATURES = 24 + 2 * len(GROUPS) + len(TAGS)
 
 def features(nodes: list[Node]) -> np.ndarray:
     n = len(nodes)
-    own, marks, links, tags, paras, controls, blocks = (np.zeros(n) for _ in range(7))
-    parent = np.array([x.parent for x in nodes])
+    own, marks, tags, paras, controls, blocks = ([0.0] * n for _ in range(6))
+    parent = [x.parent for x in nodes]
     depth = np.array([x.depth for x in nodes], float)
     for i, x in enumerate(nodes):
-        tags[i] = 1
+        tags[i] = 1.0
         if x.hidden:
             continue
         for t in x.items:
@@ -175,22 +219,24 @@ def features(nodes: list[Node]) -> np.ndarray:
                 s = t.strip()
                 own[i] += len(s)
                 marks[i] += len(_MARKS.findall(s)) if s else 0
-        paras[i] = x.tag == "p"
-        blocks[i] = x.tag in BLOCK
-        controls[i] = x.tag in ("input", "button", "select", "textarea", "label", "form", "option")
-    in_link = np.zeros(n, bool)
-    above = [set()] * n
+        paras[i] = float(x.tag == "p")
+        blocks[i] = float(x.tag in BLOCK)
+        controls[i] = float(x.tag in ("input", "button", "select", "textarea", "label", "form", "option"))
+    in_link = [False] * n
+    above: list[frozenset[int]] = [frozenset()] * n
     for i, x in enumerate(nodes):
         if i:
             in_link[i] = x.tag == "a" or in_link[x.parent]
             p = nodes[x.parent]
-            above[i] = above[x.parent] | p.groups if p.groups else above[x.parent]
-    links[in_link] = own[in_link]
+            above[i] = above[x.parent] if p.groups <= above[x.parent] else above[x.parent] | p.groups
+    links = [o if k else 0.0 for o, k in zip(own, in_link, strict=True)]
     text = own.copy()
     for i in range(n - 1, 0, -1):
         p = parent[i]
         for a in (text, marks, links, tags, paras, controls, blocks):
             a[p] += a[i]
+    own, text, marks, links, tags, paras, controls, blocks = (np.array(a) for a in (own, text, marks, links, tags, paras, controls, blocks))
+    parent = np.array(parent)
     whole = max(1.0, text[0])
     p = np.maximum(parent, 0)
     kids = np.array([len(x.children) for x in nodes], float)
@@ -409,6 +455,8 @@ class Generator:
                 s = self.prose(1, r.choice([1, 3, 8]))
                 if r.random() < 0.15:
                     s = f'{s} <a {y} href="/y">{self.sentence(1, 4)}</a> {self.prose(1, 2)}'
+                if r.random() < 0.2:
+                    s = self.sentence(1, 3)
                 out.append(r.choice([f"<p {y}>{s}</p>"] * 5 + [f"<p {y}>{s}", f"<div {y}>{s}</div>", f"<p {y}><b {y}>{s}<br>", f"<p {y}>{s}<br>{self.prose(1, 2)}</p>"]))
             elif u < 0.74:
                 out.append(f"<h2 {y}>{self.sentence(1, 6)}</h2>")
@@ -418,8 +466,16 @@ class Generator:
                 out.append(f"<blockquote {y}><p {y}>{self.prose(1, 2)}</p></blockquote>")
             elif u < 0.9:
                 out.append(f"<table {y}><tr {y}><td {y}>{self.sentence(1, 3)}</td><td {y}>{self.sentence(1, 3)}</td></tr></table>")
-            elif u < 0.93:
+            elif u < 0.915:
                 out.append(f"<pre {y}>{self.prose(1, 2)}</pre>")
+            elif u < 0.93:
+                out.append(r.choice([
+                    f"<details {y}><summary {y}>{self.sentence(1, 5)}</summary><p {y}>{self.prose(1, 3)}</p></details>",
+                    f"<figure {y}><img src=x><figcaption {y}>{self.sentence(2, 9)}</figcaption></figure>",
+                    f"<p {y}>{self.sentence(2, 6)} <math {y}><mi {y}>x</mi><mo {y}>=</mo><mn {y}>2</mn></math> {self.sentence(2, 6)}</p>",
+                    f"<dl {y}><dt {y}>{self.sentence(1, 2)}</dt><dd {y}>{self.sentence(2, 9)}</dd></dl>",
+                    f"<section {y}><h3 {y}>{self.sentence(1, 4)}</h3><p {y}>{self.prose(1, 3)}</p></section>",
+                ]))
             else:
                 style, self.style = self.style, ""
                 out.append(self.boiler(r.choice(["ad", "share", "form", "notice", "side"]), True))
@@ -449,8 +505,7 @@ class Generator:
         return f"<!DOCTYPE html><html><head><title>x</title>{head_end}<body data-y=\"1\">{whole}</body></html>"
 
 
-@lru_cache(maxsize=1)
-def trained(pages: int = 900, seed: int = 11) -> Boosted:
+def fit(pages: int = 900, seed: int = 11) -> Boosted:
     g = Generator(seed)
     xs, ys = [], []
     for _ in range(pages):
@@ -461,6 +516,26 @@ def trained(pages: int = 900, seed: int = 11) -> Boosted:
     return Boosted().fit(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 
+def save(model: Boosted, path: Path) -> None:
+    trees = [{"feature": f.tolist(), "cut": [float(c) if np.isfinite(c) else None for c in cut], "leaf": [round(float(v), 6) for v in leaf]} for f, cut, leaf in zip(model.feature, model.cut, model.leaf, strict=True)]
+    lines = ",\n".join(json.dumps(t, separators=(",", ":")) for t in trees)
+    path.write_text(f'{{"features": {N_FEATURES}, "depth": {model.depth}, "base": {model.base!r}, "trees": [\n{lines}\n]}}\n')
+
+
+@lru_cache(maxsize=1)
+def trained(path: Path = Path(__file__).with_name("page_trees.json")) -> Boosted:
+    """The fitted trees of the file, which must be of this version's features."""
+    said = json.loads(path.read_text())
+    if said["features"] != N_FEATURES:
+        raise ValueError(f"{path} was fitted to other features: fit it again")
+    model = Boosted(trees=len(said["trees"]), depth=said["depth"])
+    model.base = said["base"]
+    model.feature = [np.array(t["feature"], np.int64) for t in said["trees"]]
+    model.cut = [np.array([np.inf if c is None else c for c in t["cut"]], np.float32) for t in said["trees"]]
+    model.leaf = [np.array(t["leaf"]) for t in said["trees"]]
+    return model
+
+
 def extract(model: Boosted, pages: list[str | None]) -> list[str]:
     trees = [parse(p) if p else [] for p in pages]
     sizes = [len(t) for t in trees]
@@ -485,3 +560,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield [(i, u, t, len(t)) for i, u, t in zip(rows["page_id"], rows["url"], texts, strict=True)]
 
     return map_rows(pages, ["page_id", "url", "html"], run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long", chunk=100)
+
+
+if __name__ == "__main__":
+    save(fit(), Path(__file__).with_name("page_trees.json"))

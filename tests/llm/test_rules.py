@@ -144,3 +144,25 @@ def test_null_and_negative_ids_are_told_apart(spark):
     assert jaccard.similarity_classes(df.limit(0)).count() == 0 and substrings.cut_repeats(df.limit(0)).count() == 0
     kept = sorted(x.row for x in jaccard.keep_one(df).collect())
     assert kept == [1, 2, 4, 6, 7, 8]
+
+
+# -- search -----------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize(("dims", "block", "query"), [(384, 1 << 16, 1 << 13), (64, 40, 3), (20, 40, 3)])
+def test_search_of_any_dimension(spark, monkeypatch, dims, block, query):
+    from tapeline.llm import hamming
+
+    monkeypatch.setattr(hamming, "INDEX_BLOCK", block)
+    monkeypatch.setattr(hamming, "QUERY_BLOCK", query)
+    r = random.Random(dims)
+    base = [[r.choice([-1.0, 1.0]) for _ in range(dims)] for _ in range(12)]
+    near = lambda v: [-x if r.random() < 0.1 else x for x in v]
+    rows = [(i, near(base[i % 12]) if i % 3 else base[i % 12] if i % 2 else [r.gauss(0, 1) for _ in range(dims)]) for i in range(260)]
+    rows += [(300, base[0][: dims // 2]), (320, []), (None, base[1]), (340, None), (360, [None] * dims), (380, [0.0] * dims)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    codes = {i: tuple(x > 0 for x in v) + (False,) * (dims - len(v)) for i, v in rows if i is not None and v is not None and None not in v}
+    want = set()
+    for q in (i for i in codes if i % 20 == 0):
+        order = sorted((sum(a != b for a, b in zip(codes[q], codes[o], strict=True)), o) for o in codes if o != q)[:10]
+        want |= {(q, k + 1, o, d) for k, (d, o) in enumerate(order)}
+    assert {tuple(x) for x in hamming.nearest_report(df).collect()} == want
+    assert hamming.nearest_report(df.limit(0)).count() == 0
