@@ -243,16 +243,21 @@ def test_automaton_accepts_one_path_of_a_word():
 
 
 # -- 7 ----------------------------------------------------------------------------------------------------------------
+def plain_grams(text):
+    padded = [0, 0, 0, *map(ord, text), 0]
+    return [tuple(padded[k : k + 4]) for k in range(len(text) + 1)]
+
+
 def plain_kneser_ney(texts):
     """Probabilities of all 4-grams, by dictionaries."""
-    top = Counter(int(g) for t in texts for g in quality.grams_of(t))
-    counts = {4: top}
+    counts = {4: Counter(g for t in texts for g in plain_grams(t))}
     for k in (3, 2, 1):
-        counts[k] = Counter(g % (64**k) for g in counts[k + 1])
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    symbols = len(counts[1]) + 1
 
     def prob(k, g):
         if k == 0:
-            return 1 / 64
+            return 1 / symbols
         c = counts[k]
         n = [sum(1 for v in c.values() if v == j) for j in (1, 2, 3, 4)]
         if all(n):
@@ -261,23 +266,56 @@ def plain_kneser_ney(texts):
         else:
             d = [0.5, 0.75, 0.9]
         cut = lambda v: d[min(v, 3) - 1]
-        same = {x: v for x, v in c.items() if x >> 6 == g >> 6}
+        same = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
         total = sum(same.values())
         if not total:
-            return prob(k - 1, g % (64 ** (k - 1)))
+            return prob(k - 1, g[1:])
         own = (c[g] - cut(c[g])) / total if g in c else 0
-        return own + sum(map(cut, same.values())) / total * prob(k - 1, g % (64 ** (k - 1)))
-
-    return lambda g: prob(4, g)
-
-
-def test_kneser_ney(docs):
-    texts = [t for t in corpus(7)[:12] if t]
-    model = quality.train(docs(*texts))
-    table, plain = quality.surprise_table(model), plain_kneser_ney(texts)
-    for g in [*quality.grams_of(texts[0])[:40], *quality.grams_of("Unseen!! zzz")]:
-        assert abs(table[int(g)] + np.log(plain(int(g)))) < 1e-4
-    assert abs(np.exp(-table[64 * 777 : 64 * 778].astype(float)).sum() - 1) < 1e-4
+        return own + sum(map(cut, same.values())) / total * prob(k - 1, g[1:])
+
+    return lambda g: prob(4, g), symbols
+
+
+def test_kneser_ney(spark):
+    texts = [t for t in corpus(7)[:12] if t] + ["語る言葉は少ない", "𝄞 ключ"]
+    grams = Counter(g for t in texts for g in plain_grams(t))
+    counts = spark.createDataFrame([(0, *g, c) for g, c in grams.items()], "h int, w1 int, w2 int, w3 int, w4 int, c long")
+    model, (plain, symbols) = quality.Model(counts), plain_kneser_ney(texts)
+    assert model.uniform == {0: 1 / symbols, 1: 1.0}
+    asked = {*plain_grams(texts[0])[:40], *plain_grams("Unseen!! zzz"), *plain_grams("語る話")}
+    columns = "h int, w1 int, w2 int, w3 int, w4 int"
+    got = {tuple(x[1:5]): x.nll for x in model.surprise(spark.createDataFrame([(0, *g) for g in asked], columns)).collect()}
+    assert set(got) == asked and all(abs(got[g] + np.log(plain(g))) < 1e-5 for g in asked)
+    ctx = plain_grams(texts[0])[9][:3]
+    seen = [(0, *ctx, c) for c in {g[3] for g in grams}]
+    every = [x.nll for x in model.surprise(spark.createDataFrame(seen, columns)).collect()]
+    unseen = plain((*ctx, 0x10FFFF))
+    assert abs(sum(np.exp(-np.array(every))) + unseen - 1) < 1e-5
+
+
+@pytest.mark.parametrize("dense", [1 << 24, 4])
+def test_grams_are_those_of_plain_loops(monkeypatch, dense):
+    monkeypatch.setattr(quality, "DENSE", dense)
+    texts = ["abc", "x", "語る言葉 é", "\U0001d11e" * 3]
+    grams, place, begin = quality.grams_of(texts)
+    assert [tuple(map(int, grams[p])) for p in place] == [g for t in texts for g in plain_grams(t)]
+    assert begin.tolist() == [0, 4, 6, 13]
+
+
+def test_perplexity_equals_plain(docs, spark, monkeypatch):
+    """Whole texts in several chunks, with copies, odd texts and a script of its own, against dictionaries."""
+    monkeypatch.setattr(quality, "CHUNK", 900)
+    monkeypatch.setattr(quality, "AT_ONCE", 300)
+    texts = corpus(5, 20) + ["語る言葉は少ない" * 5, "", None]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, len(texts), 2)], "doc_id long, quality int, toxic int")
+    learned = [[t for t in texts[::2] if t and quality.half_of(t) == h] for h in (0, 1)]
+    plain = [plain_kneser_ney(x)[0] for x in learned]
+    got = {x.doc_id: x for x in quality.quality_report(docs(*texts), labels).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = [-np.log(plain[1 - quality.half_of(t)](g)) for g in plain_grams(t)] if t and i % 6 == 0 else None
+        assert (got[i].perplexity is None) == (not t) and got[i].n_grams == (len(t) + 1 if t else 0)
+        assert want is None or abs(np.log(got[i].perplexity) - np.mean(want)) < 1e-5
 
 
 def test_quality(docs, spark):
