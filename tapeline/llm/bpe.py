@@ -2,9 +2,12 @@
 
 The automaton reads token labels and accepts exactly the sequences that BPE yields. It starts as one state with a loop
 for each byte; each merge (u, v) -> w, in rank order, is a gadget: arcs u go to a copy of their target without v, and an
-arc w is added from every state with an arc u to where v led. So the state after a label depends on the label alone, a
-copy keeps its parent's arcs but one, and the table stores per state (parent, removed label, rank). ``follows`` answers
-one table entry and remembers it.
+arc w is added from every state with an arc u to where v led. So the state after a label depends on the label alone, and
+a copy keeps its parent's arcs but some: v, and all labels made later whose left part lost its arc. Labels are numbered
+by a tour of the tree of left parts, children in rank order, in which those are v and one range. The compiled table has,
+per state, the ranges of numbers without an arc: its own and those of up to ``ROW`` states that it was copied from, in
+order and merged, and the state where its row goes on. A step looks a label's number up in the row and its rest, and
+remembers the answer.
 
 A pre-split word is read byte by byte: a trie with failure links gives the labels that end at each place, and of these
 exactly one continues the accepted path of its prefix. Walking the path back emits the arcs, ids; decoding emits the
@@ -12,8 +15,13 @@ bytes of each arc's label. Words repeat, so their results are kept in a table of
 
 The vocabulary file is a parameter; the driver reads it and broadcasts its merges (a few MB, fixed by the vocabulary).
 
+What the file says is honoured or refused: byte-level BPE with the usual split or one given as a pattern, with or without
+a prefix space; a normalizer, other pre-tokenizers, dropout, word affixes, byte fallback, ignored merges and special
+tokens that strip their surroundings or match whole words only raise an error. Ids may be of any size.
+
 Edge cases: null text counts as empty: no ids, empty decoded text. Special tokens are recognised in the text before it
-is split, as the tokenizer file says.
+is split, as the tokenizer file says. Repeated rows are encoded each; an empty table gives no rows; columns that are not
+kept are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +29,9 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -34,6 +44,7 @@ from tapeline.llm.common import map_rows
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEPT_WORDS = 400_000
 KEPT_ARCS = 250_000
+ROW = 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,37 +54,69 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _split_of(d: dict) -> tuple[str, bool]:
+    """The file's pre-split pattern, and whether a space is put before a text. Settings that are not known raise an error."""
+
+    def refuse(what: str) -> None:
+        raise ValueError(f"this tokenizer file asks for {what}, which is not supported")
+
+    model = d["model"]
+    if model.get("type", "BPE") != "BPE":
+        refuse(f"a model of type {model['type']}")
+    for name in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"):
+        if model.get(name):
+            refuse(name)
+    if d.get("normalizer"):
+        refuse("a normalizer")
+    if (d.get("decoder") or {"type": "ByteLevel"})["type"] != "ByteLevel":
+        refuse("another decoder")
+    for t in d.get("added_tokens") or []:
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
+            refuse(f"the token {t['content']!r} with its surroundings")
+    pre = d.get("pre_tokenizer") or {"type": "ByteLevel"}
+    steps = pre["pretokenizers"] if pre["type"] == "Sequence" else [pre]
+    if steps[-1]["type"] != "ByteLevel" or len(steps) > 2:
+        refuse("other pre-tokenizers")
+    space = bool(steps[-1].get("add_prefix_space"))
+    if len(steps) == 1:
+        if not steps[0].get("use_regex", True):
+            refuse("no split")
+        return SPLIT, space
+    first = steps[0]
+    if first["type"] != "Split" or first.get("behavior") != "Isolated" or first.get("invert") or "Regex" not in first["pattern"] or steps[-1].get("use_regex", True):
+        refuse("another split")
+    return first["pattern"]["Regex"], space
+
+
 class Automaton:
     def __init__(self, spec: str):
         d = json.loads(spec)
+        pattern, self.space = _split_of(d)
         vocab, alphabet = d["model"]["vocab"], byte_alphabet()
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
-        self.special = {t["content"]: t["id"] for t in d.get("added_tokens", [])}
+        self.special = {t["content"]: t["id"] for t in d.get("added_tokens") or []}
         self.label = {i: s.encode() for s, i in self.special.items()}
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in d["model"]["merges"]]
-        self.parent, self.removed, self.born = [-1], [-1], [-1]  # by state; state 0 is the start
-        self.state: dict[int, int] = {}  # by label: where its arcs lead
-        self.parts: dict[int, tuple[int, int]] = {}  # by label: its rank and left part
-        for s in alphabet:
-            if s in vocab:
-                self.state[vocab[s]] = 0
-                self.label[vocab[s]] = as_bytes(s)
+        self.state: dict[int, int] = {}  # by label: where its arcs lead; state 0 is the start
+        for c in alphabet:
+            if c in vocab:
+                self.state[vocab[c]] = 0
+                self.label[vocab[c]] = as_bytes(c)
+        parts: dict[int, tuple[int, int, int]] = {}  # by label: its rank and parts
         for rank, (a, b) in enumerate(merges):
-            u, v, w = vocab[a], vocab[b], vocab[a + b]
-            target = self.state[v]
-            self.parent.append(self.state[u])
-            self.removed.append(v)
-            self.born.append(rank)
-            self.state[u] = len(self.parent) - 1
-            self.state[w] = target
-            self.parts[w] = (rank, u)
+            w = vocab[a + b]
+            if w in parts:
+                raise ValueError(f"two merges make the token {a + b!r}, which is not supported")
+            parts[w] = (rank, vocab[a], vocab[b])
             self.label[w] = as_bytes(a) + as_bytes(b)
-        self.digits = {i: str(i) for i in self.label}
         self.known: dict[int, bool] = {}
+        self.base = 1 + max(self.label, default=0)
+        self._compile(parts)
+        self.digits = {i: str(i) for i in self.label}
         self._trie()
         special = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.special_split = regex.compile(f"({special})").split if special else None
-        self.split = regex.compile(SPLIT).findall
+        self.split = _whole(regex.compile(pattern))
         self.kept: dict[str, tuple[str, int, bytes]] = {}
 
     def _trie(self) -> None:
@@ -100,29 +143,66 @@ class Automaton:
                 self.fail[child] = self.go[f].get(byte, 0) if node else 0
                 queue.append(child)
 
+    def _compile(self, parts: dict[int, tuple[int, int, int]]) -> None:
+        """The states and their rows of tour numbers without an arc, by one gadget after the other."""
+        children: dict[int, list[tuple[int, int]]] = {}
+        for label, (rank, left, _) in parts.items():
+            children.setdefault(left, []).append((rank, label))
+        self.tour: dict[int, int] = {}
+        end: dict[int, int] = {}
+        for root in self.state:
+            todo = [(root, False)]
+            while todo:
+                label, done = todo.pop()
+                if done:
+                    end[label] = len(self.tour)
+                    continue
+                self.tour[label] = len(self.tour)
+                todo.append((label, True))
+                todo += [(child, False) for _, child in sorted(children.get(label, ()), reverse=True)]
+        self.starts, self.lo, self.hi, self.rest = array("q", [0, 0]), array("q"), array("q"), array("q", [-1])
+        since, own = [0], [()]  # by state: how many states its row covers, and their ranges
+        for w, (rank, u, v) in parts.items():
+            if u not in self.state or v not in self.state or not self.follows(self.state[u], v):
+                continue  # the two never stand side by side, so this merge makes nothing
+            p = self.state[u]
+            later = [c for r, c in children.get(v, ()) if r >= rank]  # w itself is one if u is v
+            first = self.tour[later[0]] if later else end[v]  # in rank order, so the later ones end v's range
+            fresh = since[p] >= ROW
+            ranges = sorted({(self.tour[v], self.tour[v] + 1), (first, end[v])} | set(() if fresh else own[p]))
+            at = -1
+            for lo, hi in ranges:
+                if hi > max(lo, at):
+                    self.lo.append(max(lo, at))
+                    self.hi.append(hi)
+                    at = hi
+            self.starts.append(len(self.lo))
+            self.rest.append(p if fresh else self.rest[p])
+            since.append(1 if fresh else since[p] + 1)
+            own.append(tuple(ranges))
+            self.state[w] = self.state[v]
+            self.state[u] = len(own) - 1
+        self.known.clear()
+
     def follows(self, state: int, token: int) -> bool:
-        """Whether the automaton has an arc ``token`` from ``state``."""
-        key = (state << 17) | token
+        """Whether the table has an arc ``token`` from ``state``."""
+        key = state * self.base + token
         if (known := self.known.get(key)) is not None:
             return known
-        s, t, ok = state, token, True
-        while ok:
-            rank, left = self.parts.get(t, (-1, -1))
-            while s and self.born[s] > rank:
-                if self.removed[s] == t:
-                    ok = False
-                    break
-                s = self.parent[s]
-            if left < 0 or not ok:
+        number, s, ok = self.tour[token], state, True
+        while s > 0:
+            at = bisect_right(self.lo, number, self.starts[s], self.starts[s + 1]) - 1
+            if at >= self.starts[s] and number < self.hi[at]:
+                ok = False
                 break
-            t = left
+            s = self.rest[s]
         if len(self.known) >= KEPT_ARCS:
             self.known.clear()
         self.known[key] = ok
         return ok
 
     def encode_word(self, word: bytes) -> list[int]:
-        go, fail, out, states, follows, known = self.go, self.fail, self.out, self.state, self.follows, self.known
+        go, fail, out, states, follows, known, base = self.go, self.fail, self.out, self.state, self.follows, self.known, self.base
         last, node = [-1] * (len(word) + 1), 0
         path = [0] * (len(word) + 1)  # the automaton's state after each prefix
         for i, byte in enumerate(word, 1):
@@ -131,7 +211,7 @@ class Automaton:
             node = nxt or 0
             for token, size in out[node]:
                 state = path[i - size]
-                ok = known.get((state << 17) | token)
+                ok = known.get(state * base + token)
                 if ok if ok is not None else follows(state, token):
                     last[i], path[i] = token, states[token]
                     break
@@ -159,20 +239,36 @@ class Automaton:
 
     def pieces(self, text: str) -> list[tuple[str, int, bytes]]:
         kept, word = self.kept.get, self.word
+        lead = " " if self.space else ""
         if self.special_split is None or not any(s in text for s in self.special):
-            return [kept(w) or word(w) for w in self.split(text)]
+            return [kept(w) or word(w) for w in self.split(lead + text if text and not text[0].isspace() else text)]
         out = []
         for part in self.special_split(text):
             if part in self.special:
                 out.append((str(self.special[part]), 1, part.encode()))
             else:
-                out += [word(w) for w in self.split(part)]
+                out += [word(w) for w in self.split(lead + part if part and not part[0].isspace() else part)]
         return out
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _, _ in self.pieces(text or "") if ids for i in ids.split(",")]
 
 
+def _whole(pattern: regex.Pattern) -> Callable[[str], list[str]]:
+    """Matches and, where a pattern leaves some, what lies between them."""
+    if pattern.pattern == SPLIT:  # covers every text
+        return pattern.findall
+
+    def split(text: str) -> list[str]:
+        out, at = [], 0
+        for m in pattern.finditer(text):
+            out += [x for x in (text[at : m.start()], m[0]) if x]
+            at = m.end()
+        return [*out, text[at:]] if text[at:] else out
+
+    return split
+
+
 @lru_cache(maxsize=2)
 def _ready(spec: str) -> Automaton:
     auto = Automaton(spec)

@@ -40,7 +40,7 @@ from tapeline.functions.scratch import app_folder
 from tapeline.llm.common import arrow_rows, materialize, ship, shuffle_width
 
 ORDER = 4
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 AT_ONCE = 2 << 20  # characters of a chunk that are numbered together
 DENSE = 1 << 24
 LOW, HIGH = 0.003, 0.99
@@ -230,7 +230,7 @@ class Model:
             found = found.join(self.p[k].withColumnRenamed("p", f"p{k}"), [HALF, *GRAM[ORDER - k :]], "left")
             found = found.join(self.weight[k].withColumnRenamed("weight", f"g{k}"), [HALF, *GRAM[ORDER - k : -1]], "left")
             p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"g{k}"), F.lit(1.0)) * (_of(self.uniform) if p is None else p))
-        return found.select(HALF, *GRAM, (-F.log(F.greatest(p, F.lit(1e-12)))).alias("nll"))
+        return found.select(HALF, *GRAM, (-F.log(F.greatest(p, F.lit(1e-12)))).cast("float").alias("nll"))
 
 
 def score(chunks: Chunks, model: Model) -> DataFrame:
@@ -265,7 +265,7 @@ def score(chunks: Chunks, model: Model) -> DataFrame:
         full = [(i, t, half_of(t)) for i, t in enumerate(docs["text"].to_pylist()) if t]
         for h in (0, 1):
             mine = model_of == h
-            name, value = _names(every[mine]), rows["nll"].to_numpy()[mine]
+            name, value = _names(every[mine]), rows["nll"].to_numpy()[mine].astype(np.float64)
             order = np.argsort(name, kind="stable")
             name, value = name[order], value[order]
             at, texts = [i for i, _, x in full if x != h], [t for _, t, x in full if x != h]

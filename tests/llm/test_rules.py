@@ -166,3 +166,68 @@ def test_search_of_any_dimension(spark, monkeypatch, dims, block, query):
         want |= {(q, k + 1, o, d) for k, (d, o) in enumerate(order)}
     assert {tuple(x) for x in hamming.nearest_report(df).collect()} == want
     assert hamming.nearest_report(df.limit(0)).count() == 0
+
+
+# -- tokenizer files --------------------------------------------------------------------------------------------------
+def small_file(**more):
+    import json
+
+    vocab = {c: 200_000 + i for i, c in enumerate("abcdĠ")}
+    merges = [("a", "b"), ("ab", "a"), ("b", "a"), ("a", "a"), ("aba", "b"), ("Ġ", "a"), ("c", "d"), ("aba", "aba"), ("aa", "b")]
+    for x, y in merges:
+        vocab.setdefault(x + y, 200_000 + len(vocab))
+    model = {"type": "BPE", "vocab": vocab, "merges": [f"{x} {y}" for x, y in merges]} | more.pop("model", {})
+    base = {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "decoder": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}
+    return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "post_processor": None} | base | more | {"model": model})
+
+
+@pytest.mark.parametrize("row", [1, 2, 48])
+@pytest.mark.parametrize(
+    "more",
+    [{}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+     {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "c+|[ab]{1,5}"}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}],
+)
+def test_large_ids_and_settings_equal_the_library(monkeypatch, more, row):
+    from tokenizers import Tokenizer
+
+    from tapeline.llm import bpe
+
+    monkeypatch.setattr(bpe, "ROW", row)
+    spec = small_file(**more)
+    lib, own = Tokenizer.from_str(spec), bpe.Automaton(spec)
+    r = random.Random(1)
+    for text in ["", "a", " ab", *("".join(r.choice("aaabbbcd ") for _ in range(r.randint(1, 40))) for _ in range(300))]:
+        assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize(
+    "more",
+    [{"normalizer": {"type": "Lowercase"}}, {"model": {"ignore_merges": True}}, {"model": {"end_of_word_suffix": "</w>"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "WordPiece"}},
+     {"added_tokens": [{"id": 9, "content": "<x>", "single_word": False, "lstrip": True, "rstrip": False, "normalized": False, "special": True}]}],
+)
+def test_unknown_settings_are_refused(more):
+    from tapeline.llm import bpe
+
+    with pytest.raises(ValueError, match="not supported"):
+        bpe.Automaton(small_file(**more))
+
+
+def test_decontamination_in_shards_and_pieces(docs, spark, monkeypatch):
+    """Long items in pieces, many shards, repeated rows, null ids, columns with clashing names and maps."""
+    from pyspark.sql import functions as F
+
+    from tapeline.llm import decontaminate as D
+
+    r = random.Random(2)
+    long, short = words(r, 300), "tiny item here"
+    bench = spark.createDataFrame([("l", long), ("s", short), (None, words(r, 30)), ("e", ""), ("n", None), ("s2", short)], "item_id string, text string")
+    part = " ".join(long.split()[95:130])
+    df = docs("x " + part, part, part, "A Tiny, item HERE!", None, "", words(r, 50)).withColumn("hits", F.lit(3)).withColumn("_row", F.create_map(F.lit("a"), F.lit(1)))
+    want = sorted(map(str, D.leak_report(df.drop("_row", "hits"), bench).collect()))
+    assert [x.split("n_hit=")[1].split(",")[0] for x in want] == ["35", "35", "35", "3", "0", "0", "0"]
+    monkeypatch.setattr(D, "PIECE", 40)
+    assert sorted(map(str, (x for x in D.find_leaks(df.drop("_row", "hits"), bench, shard_bytes=300).select("doc_id", "n_words", F.size("hits").alias("n"), "items").collect()))) == sorted(
+        map(str, D.find_leaks(df.drop("_row", "hits"), bench).select("doc_id", "n_words", F.size("hits").alias("n"), "items").collect()))
+    kept = D.drop_leaks(df, bench)
+    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == [4, 5, 6]
+    assert D.leak_report(docs("a").limit(0), bench).count() == 0 and D.leak_report(df.drop("_row"), bench.limit(0)).filter("contaminated").count() == 0
