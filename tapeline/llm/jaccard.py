@@ -363,7 +363,7 @@ def similar_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame
     waiting = hot.filter(F.col("sets") > LONG).select("k", "id", "dropped", "size")
     nears, links_now, fars = [], links, None
     for turn in range(HEADS):
-        heads = waiting.groupBy("k").agg(F.max_by("id", F.struct(F.col("dropped") / F.col("size"), "id")).alias("head"))
+        heads = materialize(waiting.groupBy("k").agg(F.max_by("id", F.struct(F.col("dropped") / F.col("size"), "id")).alias("head")))  # so that a long list can be split
         headed = materialize(waiting.join(heads, "k"))
         compared = materialize(_compare(headed.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts, n))
         nears.append(compared)
