@@ -2,8 +2,8 @@
 
 Filters of several widths run over the bytes of fixed-length windows; each filter keeps its maximum in the window, and a
 softmax layer turns the maxima into language probabilities. The network is trained in numpy on windows of a bounded
-sample of labelled documents (``PER_LANGUAGE`` documents of each language, chosen by a hash of their text, ``PIECES``
-windows each). For use, a filter of width w is folded into tables over byte pairs, so a window costs a few table
+sample of labelled documents (``PER_LANGUAGE`` texts of each language, ``MOST_TEXTS`` in all, chosen by a hash of the
+text; ``PIECES`` windows each, out of at most ``PART`` characters). For use, a filter of width w is folded into tables over byte pairs, so a window costs a few table
 look-ups per byte. Every window of a whole text counts; their probabilities are averaged by bytes.
 
 Edge cases: null, empty or letterless text gives ``und`` with score 0; texts shorter than a window are padded with zero
@@ -20,6 +20,7 @@ import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tapeline.llm.common import map_rows
 
@@ -27,6 +28,8 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 PER_LANGUAGE = 400
+MOST_TEXTS = 20_000  # of all languages, for training
+PART = 4000  # characters of a text, for training
 PIECES = 6
 STEPS = 500
 BATCH = 96
@@ -182,22 +185,23 @@ def held_out_column() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` or so distinct labelled texts of each language, spread by a hash over the whole table."""
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most_texts: int = MOST_TEXTS, part: int = PART) -> list[tuple[str, str]]:
+    """The ``per_language`` distinct labelled texts of each language that a hash puts first, each as (part, language).
+
+    Copies count once. Where languages are so many that this would be more than ``most_texts``, every language gives its
+    first texts before any gives further ones. Of a text over ``part`` characters, that many from a place set by its hash
+    are taken, as it gives PIECES windows only. Rows and order depend on the texts alone.
+    """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    hashed = labelled.select("text", "lang", (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
-    # distinct texts are counted, as a text is drawn once for all its copies
-    texts = labelled.groupBy("lang", F.xxhash64("text", F.lit(1)).alias("x")).agg(F.lit(1).alias("one"))
-    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    # copies count once; a training text gives PIECES windows, so a part at a place set by its hash is enough
-    place = F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.lit(1), F.length("text") - 4000)).cast("int") + 1
-    cut = F.col("text").substr(place, F.lit(4000)).alias("part")
-    rows = hashed.filter(F.col("u") < share).select("lang", cut).dropDuplicates()
-    got = [(r["part"], r["lang"]) for r in rows.limit(4 * per_language * max(1, len(counts))).collect()]
-    return sorted(got)
+    named = labelled.select("lang", "text", F.xxhash64("text", F.lit(1)).alias("h"))
+    # only hashes are dealt out, and each task passes on no more than per_language of a language
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    ranked = named.select("lang", "h").distinct().withColumn("rank", first).filter(F.col("rank") <= per_language)
+    drawn = ranked.orderBy("rank", "h", "lang").limit(most_texts).select("lang", "h").collect()
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(drawn, "lang string, h long"))  # most_texts rows at most
+    place = F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.lit(1), F.length("text") - part)).cast("int") + 1
+    rows = named.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.col("text").substr(place, F.lit(part))).alias("part"))
+    return sorted((r["part"], r["lang"]) for r in rows.collect())
 
 
 def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:

@@ -83,6 +83,18 @@ def test_training_sample_counts_copies_once(spark):
     assert 60 < got["de"] < 140 and 60 < got["en"] < 140 and got["es"] == 1
 
 
+def test_training_sample_is_bounded_and_depends_on_texts_alone(spark):
+    rows = [(f"text {i} of language {k}", f"l{k}") for k in range(30) for i in range(20)] + [("a long one " * 1000, "long"), ("no language", None), ("", "l0"), (None, "l1")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got = language.training_sample(df.repartition(5), per_language=8, most_texts=70, part=50)
+    assert got == language.training_sample(df.unionByName(df).repartition(2), per_language=8, most_texts=70, part=50)
+    assert len(got) == 70 and set(Counter(lang for _, lang in got).values()) <= {1, 2, 3}
+    assert {lang for _, lang in got} == {f"l{k}" for k in range(30)} | {"long"}
+    assert max(len(t) for t, _ in got) == 50
+    assert len(language.training_sample(df)) == 601
+    assert language.training_sample(df.limit(0)) == []
+
+
 def test_convolution_equals_plain_loops():
     net = language.train([("the thing and", "en"), ("schung ein", "de")], steps=3)
     text = "abc thé"
