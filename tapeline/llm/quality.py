@@ -37,11 +37,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.functions.scratch import app_folder
-from tapeline.llm.common import arrow_rows, materialize, ship, shuffle_width
+from tapeline.llm.common import arrow_rows, materialize, release_memory, ship, shuffle_width
 
 ORDER = 4
 CHUNK = 32 << 20
-AT_ONCE = 2 << 20  # characters of a chunk that are numbered together
+AT_ONCE = 1 << 20  # characters of a chunk that are numbered together
+MERGE_AT = 1 << 20  # n-grams of such parts that wait to be merged
 DENSE = 1 << 24
 LOW, HIGH = 0.003, 0.99
 LEAST_TRUSTED = 50
@@ -101,19 +102,26 @@ def _groups(texts: list[str]) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    every, c = np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.lexsort(every.T[::-1])
+    every, c = every[order], c[order]
+    new = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]).any(1)]))
+    return every[new], np.add.reduceat(c, new)
+
+
 def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of the texts and how often each occurs."""
-    parts = []
+    parts, waiting = [], 0
     for g in _groups(texts):
         found, place, _ = grams_of(texts[g])
         parts.append((found, np.bincount(place, minlength=len(found))))
+        waiting += len(found)
+        if waiting > max(MERGE_AT, 2 * len(parts[0][0])):
+            parts, waiting = [_merged(parts)], 0
     if not parts:
         return np.zeros((0, ORDER), np.int32), np.zeros(0, np.int64)
-    every, c = np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts])
-    order = np.lexsort(every.T[::-1])
-    every, c = every[order], c[order]
-    new = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]).any(1)]))
-    return every[new], np.add.reduceat(c, new)
+    return _merged(parts)
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -160,7 +168,13 @@ def chunked(docs: DataFrame) -> Chunks:
 def _beside(chunks: DataFrame, right: DataFrame, fn, schema: str) -> DataFrame:
     """``fn`` (documents, rows of ``right``) for each chunk; only ``right`` is dealt out."""
     ship(chunks.sparkSession)
-    return chunks.groupBy("_chunk").cogroup(right.groupBy("_chunk")).applyInArrow(lambda key, docs, rows: fn(docs, rows), schema)
+
+    def run(key, docs, rows):
+        out = fn(docs, rows)
+        release_memory()
+        return out
+
+    return chunks.groupBy("_chunk").cogroup(right.groupBy("_chunk")).applyInArrow(run, schema)
 
 
 def _by_half(texts: list[str], own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -262,18 +276,39 @@ def score(chunks: Chunks, model: Model) -> DataFrame:
         docs = docs.select(names)
         n, nll = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows)
         every, model_of = np.stack([rows[w].to_numpy() for w in GRAM], 1), rows[HALF].to_numpy()
-        full = [(i, t, half_of(t)) for i, t in enumerate(docs["text"].to_pylist()) if t]
+        known = []
         for h in (0, 1):
             mine = model_of == h
             name, value = _names(every[mine]), rows["nll"].to_numpy()[mine].astype(np.float64)
             order = np.argsort(name, kind="stable")
-            name, value = name[order], value[order]
-            at, texts = [i for i, _, x in full if x != h], [t for _, t, x in full if x != h]
-            for part in _groups(texts):
-                grams, place, begin = grams_of(texts[part])
-                each = value[np.searchsorted(name, _names(grams))][place]
-                n[at[part]] = np.diff([*begin, len(place)])
-                nll[at[part]] = np.add.reduceat(each, begin) / n[at[part]]
+            known.append((name[order], value[order]))
+        del every, model_of
+
+        def judge(h: int, at: list[int], texts: list[str]) -> None:
+            name, value = known[h]
+            grams, place, begin = grams_of(texts)
+            each = value[np.searchsorted(name, _names(grams))][place]
+            n[at] = np.diff([*begin, len(place)])
+            nll[at] = np.add.reduceat(each, begin) / n[at]
+
+        # only some texts at a time are held as strings
+        at: tuple[list[int], list[int]] = ([], [])
+        texts: tuple[list[str], list[str]] = ([], [])
+        held = [0, 0]
+        for i, scalar in enumerate(docs["text"]):
+            if t := scalar.as_py():
+                h = 1 - half_of(t)
+                at[h].append(i)
+                texts[h].append(t)
+                held[h] += len(t) + ORDER
+                if held[h] >= AT_ONCE:
+                    judge(h, at[h], texts[h])
+                    at[h].clear()
+                    texts[h].clear()
+                    held[h] = 0
+        for h in (0, 1):
+            if texts[h]:
+                judge(h, at[h], texts[h])
         return docs.append_column("n_grams", pa.array(n)).append_column("nll", pa.array(nll, pa.float64(), mask=n == 0))
 
     kinds = dict(chunks.read().dtypes)
