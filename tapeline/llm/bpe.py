@@ -38,7 +38,7 @@ from pathlib import Path
 import regex
 from pyspark.sql import DataFrame
 
-from tapeline.llm.common import map_rows
+from tapeline.llm.common import keeps_tables, map_rows
 
 #: Fixed: the pre-split pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -277,6 +277,16 @@ def _ready(spec: str) -> Automaton:
     return auto
 
 
+def _forget() -> None:
+    if _ready.cache_info().currsize:
+        _ready.cache_clear()
+        gc.unfreeze()
+        gc.collect()
+
+
+keeps_tables(__name__, _forget)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """Per row: ``keep`` columns, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids and decoded text."""
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))

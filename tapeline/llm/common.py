@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tapeline.functions.scratch import discard, few, materialize
 
-__all__ = ["arrow_rows", "discard", "few", "map_rows", "materialize", "release_memory", "row_identity", "ship", "shuffle_width", "table", "with_index"]
+__all__ = ["arrow_rows", "discard", "few", "keeps_tables", "make_room", "map_rows", "materialize", "release_memory", "row_identity", "ship", "shuffle_width", "table", "with_index"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -69,6 +69,23 @@ def release_memory() -> None:
         trim(0)
 
 
+_DROPS: dict[str, Callable[[], None]] = {}
+
+
+def keeps_tables(module: str, drop: Callable[[], None]) -> None:
+    """``drop`` lets go of what ``module`` keeps in a worker between tasks."""
+    _DROPS[module] = drop
+
+
+def make_room(module: str) -> None:
+    """Workers live on from stage to stage: before a task of ``module``, drop what the other operators keep in this one."""
+    others = [drop for name, drop in _DROPS.items() if name != module]
+    for drop in others:
+        drop()
+    if others:
+        release_memory()
+
+
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[dict]], Iterator[tuple]], schema: str, chunk: int = 500) -> DataFrame:
     """``fn`` maps column lists to row tuples, over Arrow batches cut to ``chunk`` rows so that memory stays bounded."""
     ship(df.sparkSession)
@@ -85,6 +102,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[dict]], I
                     part = b.slice(at, chunk)
                     yield {c: part.column(i).to_pylist() for i, c in enumerate(columns)}
 
+        make_room(fn.__module__)
         for rows in fn(slices()):
             if rows:
                 cols = list(zip(*rows, strict=True))
@@ -99,6 +117,7 @@ def arrow_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(fn.__module__)
         yield from fn(batches)
         release_memory()
 

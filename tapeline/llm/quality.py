@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.functions.scratch import app_folder
-from tapeline.llm.common import arrow_rows, materialize, release_memory, ship, shuffle_width
+from tapeline.llm.common import arrow_rows, make_room, materialize, release_memory, ship, shuffle_width
 
 ORDER = 4
 CHUNK = 32 << 20
@@ -170,6 +170,7 @@ def _beside(chunks: DataFrame, right: DataFrame, fn, schema: str) -> DataFrame:
     ship(chunks.sparkSession)
 
     def run(key, docs, rows):
+        make_room(fn.__module__)
         out = fn(docs, rows)
         release_memory()
         return out

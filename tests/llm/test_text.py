@@ -482,3 +482,16 @@ def test_keep_one_row_of_each_group(docs, spark):
     near = Counter({(i, t.removesuffix(" tail").removesuffix(" end")): n for (i, t), n in got.items() if t and t.strip()})
     assert near == Counter([(5, a), (None, b), (None, c), (8, d), (9, "other text of nine")])
     assert Counter({k: n for k, n in got.items() if not k[1] or not k[1].strip()}) == Counter([(None, None), (None, ""), (3, " \n"), (3, " \n")])
+
+
+def test_a_worker_drops_the_tables_of_other_operators():
+    from tapeline.llm import common
+
+    public = pytest.importorskip("public_tokenizers")
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    auto = bpe._ready(spec)
+    common.make_room(bpe.__name__)
+    assert bpe._ready(spec) is auto
+    common.make_room(language.__name__)
+    assert bpe._ready.cache_info().currsize == 0
