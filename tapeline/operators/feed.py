@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from tapeline.functions.asof import asof
 from tapeline.functions.tape import by_date
 from tapeline.schemas import close_series
 from tapeline.settings import FeedSettings
@@ -20,31 +19,58 @@ def _all() -> WindowSpec:
     return Window.partitionBy("symbol")
 
 
+def _runs(bars: DataFrame) -> DataFrame:
+    """symbol, start, end, n_bars, close, before of runs of two equal closes or more; ``before`` is the bar before, if any.
+
+    One sort of the tape: of each run only its first and last bar are kept, and the last looks back at the first.
+    """
+    close, so_far = F.col("close"), by_date().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    differs = lambda other: F.coalesce(close != other, F.lit(False))
+    first = F.row_number().over(by_date()) == 1
+    b = close_series(bars).filter("symbol is not null").withColumns({
+        "i": F.row_number().over(by_date()), "before": F.lag("date").over(by_date()), "dated": F.first("date", ignorenulls=True).over(so_far),
+        "opens": first | differs(F.lag("close").over(by_date())), "closes": F.lead(F.lit(True)).over(by_date()).isNull() | differs(F.lead("close").over(by_date())),
+    })
+    ends = b.filter("opens != closes").withColumn("o", F.lag(F.struct("date", "i", "close", "before")).over(by_date())).filter("closes")
+    # dates that are missing come first
+    start = F.coalesce("o.date", "dated")
+    return ends.select("symbol", start.alias("start"), F.col("date").alias("end"), (F.col("i") - F.col("o.i") + 1).cast("bigint").alias("n_bars"), F.col("o.close").alias("close"), F.coalesce("o.before", start).alias("before"))
+
+
+def _seen(found: DataFrame, witness: DataFrame) -> DataFrame:
+    """``found`` with the witness's last closes up to ``before`` and ``end`` (``b``, ``e``) and its range within the run.
+
+    One sort of the witness with three points a run: a witness bar is after the start of its day and before the rest.
+    """
+    start, bar, before, end = range(4)
+    point = lambda c, k: F.struct(F.col(c).alias("t"), F.lit(k).alias("k"))
+    run = F.struct("start", "end", "n_bars", "close").alias("run")
+    asked = found.select("symbol", run, F.explode(F.array(point("start", start), point("before", before), point("end", end))).alias("p")).select("symbol", "p.t", "p.k", "run")
+    told = close_series(witness).filter("date is not null").select("symbol", F.col("date").alias("t"), F.lit(bar).alias("k"), F.col("close").alias("w"))
+    so_far = Window.partitionBy("symbol").orderBy("t", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    k = F.col("k")
+    both = asked.unionByName(told, allowMissingColumns=True).withColumns({
+        "at": F.last(F.when(k == bar, F.struct("w")), ignorenulls=True).over(so_far), "own": F.last(F.when(k == start, F.col("run")), ignorenulls=True).over(so_far),
+    })
+    of_run = both.withColumn("run", F.when(k == bar, F.col("own")).otherwise(F.col("run"))).filter((k != bar) | (F.col("t") <= F.col("run.end")))
+    at = lambda p: F.max(F.when((k == p) & F.col("t").isNotNull(), F.col("at.w")))
+    return of_run.groupBy("symbol", F.col("run.start").alias("start"), F.col("run.end").alias("end"), F.col("run.n_bars").alias("n_bars")).agg(
+        F.first("run.close").alias("close"), at(before).alias("b"), at(end).alias("e"), F.max("w").alias("top"), F.min("w").alias("low")
+    )
+
+
 def stale_runs(bars: DataFrame, witness: DataFrame | None = None, s: FeedSettings = FeedSettings()) -> DataFrame:
     """symbol, start, end, n_bars, close, witness_move, classification of runs of equal closes beyond the symbol's norm."""
-    changed = F.coalesce((F.col("close") != F.lag("close").over(by_date())).cast("int"), F.lit(0))
-    b = close_series(bars).withColumns({"changed": changed, "before": F.lag("date").over(by_date())}).withColumn("run", F.sum("changed").over(by_date()))
-    runs = b.groupBy("symbol", "run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("n_bars"), F.first("close").alias("close"), F.min_by("before", "date").alias("before"))
-    enough = bars.groupBy("symbol").agg(F.count("*").alias("n")).filter(F.col("n") >= s.min_stale_run).select("symbol")
-    runs = runs.filter("n_bars > 1").join(enough, "symbol", "left_semi")
-    # the quantile as a place in the sorted lengths, which a ranking gives without gathering them
-    rank, count = F.row_number().over(_all().orderBy("n_bars", "start")), F.count("*").over(_all())
-    runs = runs.withColumns({"rank": rank, "runs": count})
+    # the quantile is a place in the sorted lengths; a run is as long if so many are no longer than it
+    up_to, runs = F.count("*").over(_all().orderBy("n_bars")), F.count("*").over(_all())
     place = F.least(F.col("runs") - 1, F.floor(F.lit(s.own_run_quantile) * F.col("runs"))) + 1
-    own = F.max(F.when(F.col("rank") == place, F.col("n_bars"))).over(_all())
-    bar = F.when(F.col("runs") >= s.least_runs_for_quantile, F.greatest(own, F.lit(s.min_stale_run))).otherwise(s.min_stale_run)
-    found = runs.withColumn("bar", bar).filter(F.col("n_bars") >= F.col("bar")).withColumn("before", F.coalesce("before", "start")).select("symbol", "start", "end", "n_bars", "close", "before")
+    long = (F.col("runs") < s.least_runs_for_quantile) | (F.col("up_to") >= place)
+    found = _runs(bars).withColumns({"up_to": up_to, "runs": runs}).filter(long & (F.col("n_bars") >= s.min_stale_run))
     if witness is None:
         return found.select("symbol", "start", "end", "n_bars", "close", F.lit(None).cast("double").alias("witness_move"), F.lit(UNVERIFIED).alias("classification"))
-    w = close_series(witness)
-    found = asof(found, w, "symbol", "before", "date", F.struct("close"), "_b")
-    found = asof(found, w, "symbol", "end", "date", F.struct("close"), "_e")
-    # the witness inside each run: bars find their run as of their date, so no range join is needed
-    inside = asof(w, found.select("symbol", "start", "end"), "symbol", "date", "start", F.struct("start", "end"), "_r").filter(F.col("date") <= F.col("_r.end"))
-    ranges = inside.groupBy("symbol", F.col("_r.start").alias("start")).agg(F.max("close").alias("top"), F.min("close").alias("low"))
-    seen = found.join(ranges, ["symbol", "start"], "left")
-    known = (F.col("_b.close") > 0) & (F.col("_e.close") > 0)
-    move = F.when(known, F.log(F.col("_e.close") / F.col("_b.close")))
+    seen = _seen(found, witness)
+    known = (F.col("b") > 0) & (F.col("e") > 0)
+    move = F.when(known, F.log(F.col("e") / F.col("b")))
     moved = (F.abs(move) > s.witness_move_ln) | F.coalesce((F.col("low") > 0) & (F.col("top") / F.when(F.col("low") > 0, F.col("low")) > exp(s.witness_move_ln)), F.lit(False))
     kind = F.when(move.isNull(), UNVERIFIED).when(moved, STALE_FEED).otherwise(ILLIQUID)
     return seen.select("symbol", "start", "end", "n_bars", "close", move.alias("witness_move"), kind.alias("classification"))

@@ -178,6 +178,55 @@ def test_own_norm(spark):
     assert rows(feed.stale_runs(bars(spark, ("A", closes))), "n_bars") == [(9,)]
 
 
+def stale_by_loop(bars, witness):
+    out = []
+    for sym in sorted({b[0] for b in bars if b[0]}):
+        s, w = sorted(b[1:] for b in bars if b[0] == sym), sorted(b[1:] for b in witness if b[0] == sym and b[1])
+        cuts = [0] + [i for i in range(1, len(s)) if s[i][1] != s[i - 1][1]] + [len(s)]
+        runs = [(i, j - 1) for i, j in zip(cuts, cuts[1:], strict=False) if j - i > 1]
+        lengths = sorted(j - i + 1 for i, j in runs)
+        bar = max(3, lengths[min(len(lengths) - 1, int(0.99 * len(lengths)))]) if len(lengths) >= 20 else 3
+        for i, j in runs:
+            if j - i + 1 < bar:
+                continue
+            upto = lambda d: [c for t, c in w if t <= d][-1:]  # noqa: B023, E731
+            b, e, inside = upto(s[max(i - 1, 0)][0]), upto(s[j][0]), [c for t, c in w if s[i][0] <= t <= s[j][0]]
+            move = round(math.log(e[0] / b[0]), 9) if b and e else None
+            moved = move is not None and (abs(move) > math.log(1.02) or bool(inside and max(inside) / min(inside) > 1.02))
+            out.append((sym, s[i][0], s[j][0], j - i + 1, s[i][1], move, "UNVERIFIED" if move is None else "STALE_FEED" if moved else "ILLIQUID"))
+    return out
+
+
+def test_stale_runs_equal_a_plain_loop(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    frozen, seen = [("TWO", day(0), 5.0), ("TWO", day(1), 5.0), ("NONE", day(0), 5.0), ("NONE", day(1), 5.0), ("NONE", day(2), 5.0), (None, day(0), 5.0), (None, day(1), 5.0), (None, day(2), 5.0)], [("TWO", day(0), 1.0), ("S1", None, 77.0)]
+    for k, n in enumerate((30, 60, 120, 400, 800)):
+        days = sorted(r.sample(range(n * 2), n))
+        frozen += [(f"S{k}", day(d), 100.0 + (r.randrange(2) if k % 2 else r.choice([0, 0, 0, 1]))) for d in days]
+        seen += [(f"S{k}", day(d), 50.0 * math.exp(r.gauss(0, 0.008))) for d in range(10, n * 2) if r.random() < 0.4]
+    tape = lambda rs: spark.createDataFrame(rs, "symbol string, date date, close double").repartition(3)
+    cols = ("symbol", "start", "end", "n_bars", "close", "witness_move", "classification")
+    key = lambda x: x[:2]
+    got = feed.stale_runs(tape(frozen), tape(seen)).withColumn("witness_move", F.round("witness_move", 9))
+    want = stale_by_loop(frozen, seen)
+    assert {x[-1] for x in want} == {"STALE_FEED", "ILLIQUID", "UNVERIFIED"}
+    assert sorted(map(tuple, got.select(*cols).collect()), key=key) == sorted(want, key=key)
+    alone = sorted(map(tuple, feed.stale_runs(tape(frozen)).select(*cols).collect()), key=key)
+    assert alone == [(*x[:5], None, "UNVERIFIED") for x in sorted(want, key=key)]
+
+
+def test_stale_runs_sort_each_tape_once(spark, tmp_path):
+    """What a task holds is one sort of a tape, and the runs: neither tape is read, exchanged or sorted twice."""
+    for name in ("tape", "witness"):
+        bars(spark, ("A", walk(30))).select("symbol", "date", "close").write.parquet(f"{tmp_path}/{name}")
+    got = feed.stale_runs(*(spark.read.parquet(f"{tmp_path}/{name}") for name in ("tape", "witness")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the third sort is of the runs by their length
+    assert (plan.count("FileScan"), plan.count("Exchange hashpartitioning"), plan.count(" Sort [")) == (2, 2, 3)
+
+
 @pytest.mark.parametrize("late", [1, -1])
 def test_shifts(spark, late):
     w = walk(300, 4, 0.02)
